@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, packing, piece_codec, quality_rules, token_counts
+from . import exact_dedup, fingerprints, language_id, license_scan, packing, piece_codec, quality_rules, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_piece_codec": piece_codec.op4_piece_codec,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
