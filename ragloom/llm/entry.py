@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, license_scan, packing, piece_codec, quality_rules, token_counts
+from . import exact_dedup, fingerprints, language_id, license_scan, packing, piece_codec, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_piece_codec": piece_codec.op4_piece_codec,
     "op5_license_scan": license_scan.op5_license_scan,
