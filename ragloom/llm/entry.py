@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, license_scan, packing, piece_codec, quality_rules, substring_dedup, token_counts
+from . import exact_dedup, fingerprints, jaccard_join, language_id, license_scan, packing, piece_codec, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }

@@ -76,6 +76,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ro
     )
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
+    """The rows that stay, one for each text, with all their columns, whatever these are called."""
+    spark = docs.sparkSession
+    rounds = rounds or min(15, max(3, (partitions(spark) - 1).bit_length()))
+    rows = digests(docs, id_col, text).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << rounds)).cast("int"))
+    runs = rows.groupBy("slot", *KEY).agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    best = materialise(merge_runs(runs, rounds).select("keep", *KEY), "survivors")
+    norm = normalised(F.col(text))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), norm.alias("t")).select("row", "doc_id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("check"))
+    key = ["doc_id", *KEY]  # holds the id, so a frequent text is no hot key
+    found = whole.join(best.withColumnsRenamed({"keep": "_keep", **{k: f"_{k}" for k in KEY}}), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("digest") == F.col("_digest")) & (F.col("n_bytes") == F.col("_n_bytes")) & (F.col("check") == F.col("_check")), "left_semi")
+    return found.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 

@@ -39,15 +39,16 @@ def statistics(text: str | None) -> tuple[float, ...]:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns as k0, k1, ... (their own names may clash) and the statistics of every text as s_..."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in blocks(batches):
             rows = np.array([statistics(t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=[*keep, *(f"s_{x}" for x in STATS)])
+            yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(keep))), *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=[*(f"k{i}" for i in range(len(keep))), *(f"s_{x}" for x in STATS)])
 
-    kinds = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep)
-    return docs.mapInArrow(run, f"{kinds}, " + ", ".join(f"s_{x} double" for x in STATS))
+    kinds = ", ".join([*(f"k{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(keep)), *(f"s_{x} double" for x in STATS)])
+    return docs.select(F.col("text").alias("text"), *(F.col(f"`{x}`").alias(f"k{i}") for i, x in enumerate(keep))).mapInArrow(run, kinds)
 
 
 def grow(x: np.ndarray, y: np.ndarray, rng, depth: int, path: tuple = ()) -> list[tuple]:
@@ -125,13 +126,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
     are left out, a document labelled twice counts as its larger label."""
     chosen = sample(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "doc_id", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``most``
-    found = with_statistics(rows.select("doc_id", "text", "quality"), ["doc_id", "quality"]).toPandas().sort_values(["doc_id", *[f"s_{s}" for s in STATS]])
-    return learn(found[[f"s_{s}" for s in STATS]].to_numpy(float), (found["quality"].to_numpy() == 1).astype(float))
+    found = with_statistics(rows.select("doc_id", "text", "quality"), ["doc_id", "quality"]).toPandas().sort_values(["k0", *[f"s_{s}" for s in STATS]])
+    return learn(found[[f"s_{s}" for s in STATS]].to_numpy(float), (found["k1"].to_numpy() == 1).astype(float))
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the score of every row; empty and null texts are scored by their statistics, all 0."""
-    return with_statistics(docs.select(*dict.fromkeys([*keep, "text"])), keep).select(*keep, compiled(model).alias("score"))
+    """The score of every row and its ``keep`` columns; empty and null texts are scored by their statistics, all 0."""
+    return with_statistics(docs, keep).select(compiled(model).alias("score"), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
+
+
+def accepted(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
+    """The rows that score ``least`` or more, with all their columns, whatever these are called."""
+    cols = docs.columns
+    found = with_statistics(docs, cols).where(compiled(model) >= least)
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(cols)))
 
 
 def fold(column: str = "doc_id") -> Column:
