@@ -5,9 +5,13 @@ share at least p of the first |x| - ceil(t |x|) + p shingles of either, for any
 own p: a longer prefix costs more postings, estimated from the sketch, but asks for p shared shingles before a pair is verified.
 A pair is a candidate if it shares as many prefix shingles as the smaller p of the two.
 
+A prefix shingle that no other prefix holds is missing from every set whose prefix reaches beyond it. So a posting bounds the
+overlap of each pair it could bring by the shingles missed before it; postings and pairs whose bound is too low are dropped, and
+what they leave alone in turn.
+
 A group of many near copies would give all its pairs, so links are found in rounds. Documents with equal sets are one class from
-the start. In a star round each class is verified against one partner, the class that leads most of the postings they share, and
-links merge components. Only postings that then still lie in several components are joined pair by pair, and only across
+the start. In a star round each class is verified against one partner, the class that leads most of the postings they share (in the
+first round those that miss least lead), and links merge components. Only postings that then still lie in several components are joined pair by pair, and only across
 components: a link inside one can't change it.
 """
 
@@ -17,14 +21,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, documents, materialise, partitions, small_batches
 from .sketches import slices, summed
 from .words import Spans, hashed
 
-BITS, MOST, ROUNDS, SHARE = 20, 8, 3, 32
+BITS, MOST, ROUNDS, PRUNES, SHARE = 20, 8, 1, 0, 32
+#: Documents that are picked for verification by broadcast of their ids; beyond it by a join.
+FEW = 400_000
 #: Cost of verifying a pair against that of reading a posting.
 VERIFY = 20.0
 
@@ -130,7 +136,11 @@ def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                     out.append((rid, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    there = rows.join(docs.select("rid", "text"), "rid").select("rid", "b", "share", "kind", "text").mapInArrow(sets, "rid long, b long, share long, kind int, shingles binary")
+    ids = rows.select("rid").distinct()
+    texts = docs.select("rid", "text")
+    if ids.count() <= FEW:
+        texts = texts.join(F.broadcast(ids), "rid", "left_semi")
+    there = rows.join(texts, "rid").select("rid", "b", "share", "kind", "text").mapInArrow(sets, "rid long, b long, share long, kind int, shingles binary")
     there = there.repartition(partitions(spark), "b", "share").sortWithinPartitions("b", "share", "kind")
     return materialise(there.mapInArrow(compare, "a long, b long").distinct(), "links")
 
@@ -159,8 +169,24 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _within(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _missed(posts: DataFrame) -> DataFrame:
+    """Adds how many shingles of the same prefix stand before a posting and aren't among the postings."""
+    return posts.withColumn("miss", F.col("pos") + 1 - F.row_number().over(Window.partitionBy("rid").orderBy("pos")))
+
+
+def _shared(posts: DataFrame, percent: int) -> DataFrame:
+    """The postings that can still bring a link, with ``miss``, and ``off``, the share of their set that is missed at last."""
+    posts = materialise(posts, "postings")
+    for _ in range(PRUNES + 1):
+        tokens = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "tokens")
+        posts = _missed(posts.join(tokens, "token").select("rid", "n", "p", "pos", "token"))
+        posts = materialise(posts.where((F.col("n") - F.col("miss")) * 100 >= F.col("n") * percent), "shared")
+    return posts.withColumn("off", F.max("miss").over(Window.partitionBy("rid")) / F.col("n"))
+
+
+def _bound(a: str, am: str, b: str, bm: str, percent: int):
+    """Whether two sets of sizes a and b that miss am and bm shingles can be alike enough."""
+    return F.least(F.col(a) - F.col(am), F.col(b) - F.col(bm)) * (100 + percent) >= (F.col(a) + F.col(b)) * percent
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", links_too: bool = False):
@@ -180,23 +206,25 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     same = ["n", "s1", "s2"]
     classes = materialise(found.groupBy(*same).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
     reps = found.join(classes.where("n > 0").select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi").dropDuplicates(["rid"])
-    posts = materialise(reps.select("rid", "n", "p", F.explode("prefix").alias("token")), "postings")
-    shared = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "tokens")
-    posts = materialise(posts.join(shared, "token"), "shared")  # most shingles stand in one prefix only
+    posts = materialise(_shared(reps.select("rid", "n", "p", F.posexplode("prefix").alias("pos", "token")), percent), "prefix-postings")
     labels, links = None, None
     for turn in range(ROUNDS + 1):
-        live = posts.withColumn("root", F.col("rid")) if labels is None else posts.join(labels, posts.rid == labels.node, "left").select("token", "rid", "n", "p", F.coalesce("root", "rid").alias("root"))
-        heads = live.groupBy("token").agg(F.min(F.struct("root", F.xxhash64("rid", F.lit(turn)).alias("h"), F.col("rid").alias("head"), F.col("n").alias("head_n"))).alias("x"), F.max("root").alias("hi")).where("x.root < hi")
-        heads = materialise(heads.select("token", "x.*").withColumnRenamed("root", "head_root").drop("h"), "heads")
+        live = posts.withColumn("root", F.col("rid")) if labels is None else posts.join(labels, posts.rid == labels.node, "left").select(*posts.columns, F.coalesce("root", "rid").alias("root"))
+        lead = F.col("off") if turn == 0 else F.lit(0.0)
+        heads = live.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(lead.alias("lead"), F.xxhash64("rid", F.lit(turn)).alias("h"), F.col("rid").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("miss").alias("head_miss"))).alias("x")).where("lo < hi")
+        heads = materialise(heads.select("token", "x.head", "x.head_n", "x.head_root", "x.head_miss"), "heads")
         live = materialise(live.join(heads.select("token"), "token"), "live")
         if turn < ROUNDS:
-            near = live.join(heads, "token").where((F.col("root") != F.col("head_root")) & _within("n", "head_n", percent)).groupBy("rid", "head").agg(F.count(F.lit(1)).alias("k"))
+            near = live.join(heads, "token").where((F.col("root") != F.col("head_root")) & _bound("n", "miss", "head_n", "head_miss", percent)).groupBy("rid", "head").agg(F.count(F.lit(1)).alias("k"))
             pairs = near.groupBy("rid").agg(F.max(F.struct("k", "head")).alias("x")).select(F.col("rid").alias("a"), F.col("x.head").alias("b"))
         else:
-            one = live.select("token", F.col("rid").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("root").alias("ar"))
-            two = live.select("token", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("root").alias("br"))
-            both = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _within("an", "bn", percent))
-            pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ap", "bp")).alias("p")).where("k >= p").select("a", "b")
+            one = live.select("token", *(F.col(c).alias(f"a_{c}") for c in ("rid", "n", "p", "pos", "miss", "root")))
+            two = live.select("token", *(F.col(c).alias(f"b_{c}") for c in ("rid", "n", "p", "pos", "miss", "root")))
+            both = one.join(two, "token").where((F.col("a_rid") < F.col("b_rid")) & (F.col("a_root") != F.col("b_root")) & _bound("a_n", "a_miss", "b_n", "b_miss", percent))
+            both = both.groupBy("a_rid", "b_rid", "a_n", "b_n", F.least("a_p", "b_p").alias("p")).agg(F.count(F.lit(1)).alias("k"), F.max("a_pos").alias("a_at"), F.max("b_pos").alias("b_at"))
+            # all that is shared up to the last shared posting is among the postings; what follows it bounds the rest
+            rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
+            pairs = both.where((F.col("k") >= F.col("p")) & ((F.col("k") + rest) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"))
         pairs = materialise(pairs, "candidates")
         if pairs.isEmpty():
             break
