@@ -174,13 +174,17 @@ def _missed(posts: DataFrame) -> DataFrame:
     return posts.withColumn("miss", F.col("pos") + 1 - F.row_number().over(Window.partitionBy("rid").orderBy("pos")))
 
 
-def _shared(posts: DataFrame, percent: int) -> DataFrame:
+def _shared(reps: DataFrame, percent: int) -> DataFrame:
     """The postings that can still bring a link, with ``miss``, and ``off``, the share of their set that is missed at last."""
-    posts = materialise(posts, "postings")
+    sizes = reps.select("rid", "n", "p")
+    posts = reps.select("rid", F.posexplode("prefix").alias("pos", "token"))
     for _ in range(PRUNES + 1):
         tokens = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "tokens")
-        posts = _missed(posts.join(tokens, "token").select("rid", "n", "p", "pos", "token"))
+        posts = _missed(posts.join(tokens, "token").select("rid", "pos", "token").join(sizes, "rid"))
         posts = materialise(posts.where((F.col("n") - F.col("miss")) * 100 >= F.col("n") * percent), "shared")
+        kept = posts
+        posts = kept.select("rid", "pos", "token")
+    posts = kept
     return posts.withColumn("off", F.max("miss").over(Window.partitionBy("rid")) / F.col("n"))
 
 
@@ -206,7 +210,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     same = ["n", "s1", "s2"]
     classes = materialise(found.groupBy(*same).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
     reps = found.join(classes.where("n > 0").select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi").dropDuplicates(["rid"])
-    posts = materialise(_shared(reps.select("rid", "n", "p", F.posexplode("prefix").alias("pos", "token")), percent), "prefix-postings")
+    posts = materialise(_shared(materialise(reps.select("rid", "n", "p", "prefix"), "reps"), percent), "prefix-postings")
     labels, links = None, None
     for turn in range(ROUNDS + 1):
         live = posts.withColumn("root", F.col("rid")) if labels is None else posts.join(labels, posts.rid == labels.node, "left").select(*posts.columns, F.coalesce("root", "rid").alias("root"))
