@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch carries to a Python worker; long texts make larger batches too big for small executors.
 ARROW_ROWS = 1000
-#: Bytes of text that Python code holds at once.
+#: Bytes that an Arrow batch carries, but for a longer row, and bytes of text that Python code holds at once.
 BLOCK_BYTES = 8 << 20
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -48,6 +48,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
