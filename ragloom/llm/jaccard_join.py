@@ -12,7 +12,8 @@ what they leave alone in turn.
 A group of many near copies would give all its pairs, so links are found in rounds. Documents with equal sets are one class from
 the start. In a star round each class is verified against one partner, the class that leads most of the postings they share (in the
 first round those that miss least lead), and links merge components. Only postings that then still lie in several components are joined pair by pair, and only across
-components: a link inside one can't change it.
+components: a link inside one can't change it. There each set brings a parity sketch, whose bits count its shingles modulo 2: two
+sketches differ in at most as many bits as their sets in shingles, so pairs that differ too much are dropped as they are joined.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .sketches import slices, summed
 from .words import Spans, hashed
 
 BITS, MOST, ROUNDS, PRUNES, SHARE = 20, 8, 1, 0, 32
+#: 64-bit words of a set's parity sketch.
+PARITY = 8
 #: Documents that are picked for verification by broadcast of their ids; beyond it by a join.
 FEW = 400_000
 #: Cost of verifying a pair against that of reading a posting.
@@ -90,10 +93,17 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float, percent: int) -> tup
     return p, s[order[: upto - most + p]]
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit i is whether an odd number of the shingles fall on i."""
+    width = 64 * PARITY
+    at = (s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - width.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, counts, floor: float, size: int, percent: int) -> DataFrame:
-    """doc rows with the set's identity (size and two sums of its hashes), p and the prefix."""
+    """doc rows with the set's identity (size and two sums of its hashes), p, the prefix and the parity sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "rid", "n", "s1", "s2", "p", "prefix"]
+    names = ["doc_id", "rid", "n", "s1", "s2", "p", "prefix", "parity"]
 
     def run(batches):
         for b in blocks(batches):
@@ -102,11 +112,11 @@ def prefixes(docs: DataFrame, counts, floor: float, size: int, percent: int) ->
                 p, pre = prefix(s, counts.value, floor, percent) if len(s) else (0, s)
                 again = (s ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xDA942042E4DD58B5)
                 two = np.array([s.sum(dtype=np.uint64), (again ^ (again >> np.uint64(32))).sum(dtype=np.uint64)]).view(np.int64)
-                rows.append((len(s), int(two[0]), int(two[1]), p, pre.view(np.int64)))
-            n, s1, s2, p, pre = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p, pa.int32()), pa.array(pre, pa.list_(pa.int64()))], names=names)
+                rows.append((len(s), int(two[0]), int(two[1]), p, pre.view(np.int64), parity(s)))
+            n, s1, s2, p, pre, bits = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p, pa.int32()), pa.array(pre, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid long, n long, s1 long, s2 long, p int, prefix array<long>")
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid long, n long, s1 long, s2 long, p int, prefix array<long>, parity array<long>")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -193,6 +203,13 @@ def _bound(a: str, am: str, b: str, bm: str, percent: int):
     return F.least(F.col(a) - F.col(am), F.col(b) - F.col(bm)) * (100 + percent) >= (F.col(a) + F.col(b)) * percent
 
 
+def _near_parity(a: str, an: str, b: str, bn: str, percent: int):
+    """Whether two parity sketches differ in no more bits than like sets of sizes an and bn may differ in shingles."""
+    total = F.col(an) + F.col(bn)
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, PARITY)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return (total - differ) * (100 + percent) >= total * 2 * percent
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", links_too: bool = False):
     """One row per input row: id, rid (a hash that names the row), n_shingles, class_rid (of equal sets), root_rid and component_id (the smallest id reachable by links).
 
@@ -222,9 +239,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
             near = live.join(heads, "token").where((F.col("root") != F.col("head_root")) & _bound("n", "miss", "head_n", "head_miss", percent)).groupBy("rid", "head").agg(F.count(F.lit(1)).alias("k"))
             pairs = near.groupBy("rid").agg(F.max(F.struct("k", "head")).alias("x")).select(F.col("rid").alias("a"), F.col("x.head").alias("b"))
         else:
-            one = live.select("token", *(F.col(c).alias(f"a_{c}") for c in ("rid", "n", "p", "pos", "miss", "root")))
-            two = live.select("token", *(F.col(c).alias(f"b_{c}") for c in ("rid", "n", "p", "pos", "miss", "root")))
-            both = one.join(two, "token").where((F.col("a_rid") < F.col("b_rid")) & (F.col("a_root") != F.col("b_root")) & _bound("a_n", "a_miss", "b_n", "b_miss", percent))
+            live = live.join(found.select("rid", "parity").dropDuplicates(["rid"]), "rid")
+            one = live.select("token", *(F.col(c).alias(f"a_{c}") for c in ("rid", "n", "p", "pos", "miss", "root", "parity")))
+            two = live.select("token", *(F.col(c).alias(f"b_{c}") for c in ("rid", "n", "p", "pos", "miss", "root", "parity")))
+            both = one.join(two, "token").where((F.col("a_rid") < F.col("b_rid")) & (F.col("a_root") != F.col("b_root")) & _bound("a_n", "a_miss", "b_n", "b_miss", percent) & _near_parity("a_parity", "a_n", "b_parity", "b_n", percent))
             both = both.groupBy("a_rid", "b_rid", "a_n", "b_n", F.least("a_p", "b_p").alias("p")).agg(F.count(F.lit(1)).alias("k"), F.max("a_pos").alias("a_at"), F.max("b_pos").alias("b_at"))
             # all that is shared up to the last shared posting is among the postings; what follows it bounds the rest
             rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
