@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch carries to a Python worker; long texts make larger batches too big for small executors.
 ARROW_ROWS = 1000
 #: Bytes that an Arrow batch carries, but for a longer row, and bytes of text that Python code holds at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 TOKENIZER_DIR = "/opt/tokenizers"
 
 

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.hash, self.most = xxhash.xxh3_64_intdigest, most
