@@ -1,10 +1,13 @@
-"""Licence scans: a trained paragraph classifier, in DataFrame functions only.
+"""Licence scans: a trained classifier of lines and sentences, in DataFrame functions only.
 
 A multinomial logistic regression with an L1 penalty over word 1- to 3-grams tells licence families and ``unknown`` apart. It is
 trained on the driver from the fixed templates below, their variations and unlicensed counter-examples, and calibrated by a
 temperature on variations that weren't trained on. Only n-grams with a word of ANCHORS are features, so a paragraph without
 such a word is unknown by the model itself, and the scan can skip it without changing a result. A prediction counts only if a
-template of the same family shares enough of its words with the paragraph.
+template of the same family shares enough of its words with the paragraph, one that no other family has among them if it has such.
+
+Notices are wrapped as often as not, so what is classified are the lines of a text and also the sentences of its paragraphs,
+which reach over line ends. Long sentences are read in overlapping windows: a template's words must stand close together.
 """
 
 from __future__ import annotations
@@ -109,6 +112,11 @@ ANCHORS = r"licen[cs]|copyright|apache|\bl?a?gpl|\bgnu\b|\bbsd\b|mozilla|\bmpl\b
 #: What a document must contain, in lower case, to have such a paragraph.
 STEMS = ["licens", "licenc", "copyright", "apache", "gpl", "gnu", "bsd", "mozilla", "mpl", "commons", "spdx", "redistribut", "domain", "rights", "hereby", "cc"]
 WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]"
+#: A paragraph ends at lines without a letter or digit (empty ones, bare comment markers, rules), a sentence at its stop.
+PARAGRAPH = r"(?:\r\n|\n|\r(?!\n))(?:[^\p{L}\p{N}\r\n]*(?:\r\n|\n|\r(?!\n)))+"
+SENTENCE = r"(?<=[.!?])[\"')\]]*\s+(?!\d)"
+#: Words of a window, twice the longest template's.
+WINDOW = 64
 #: Least probability of a family, and least share of a template's words that are in the paragraph or the reverse.
 SURE, AGREES = 0.5, 0.6
 _trained: dict = {}
@@ -198,13 +206,28 @@ def _usable(gram: str, anchor) -> bool:
     return bool(anchor.search(gram))
 
 
+def _sentences(block: Column) -> Column:
+    """The sentences of a paragraph, those of more than WINDOW words as windows that overlap by half."""
+
+    def windows(sentence):
+        words = F.split(sentence, r"\s+")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
+        return F.when(F.size(words) <= WINDOW, F.array(sentence)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " ")))
+
+    return F.flatten(F.transform(F.split(block, SENTENCE), windows))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, position and text of the paragraphs (lines) that can have a feature."""
+    """doc_id, para, pos, text and whether it's a line, of the paragraphs' lines and sentences that can have a feature."""
     low = F.lower("text")
     may = low.contains(STEMS[0])
     for s in STEMS[1:]:
         may |= low.contains(s)
-    return docs.where(may).select("doc_id", F.posexplode(F.split("text", r"[\r\n]+")).alias("pos", "par")).where(F.lower("par").rlike(ANCHORS))
+    blocks = docs.where(may).select("doc_id", F.posexplode(F.split("text", PARAGRAPH)).alias("para", "block")).where(F.lower("block").rlike(ANCHORS))
+    lines = F.split("block", r"[\r\n]+")
+    more = F.array_except(_sentences(F.col("block")), lines)
+    units = F.concat(F.transform(lines, lambda u: F.struct(u.alias("par"), F.lit(True).alias("line"))), F.transform(more, lambda u: F.struct(u.alias("par"), F.lit(False).alias("line"))))
+    return blocks.select("doc_id", "para", F.posexplode(units).alias("pos", "unit")).select("doc_id", "para", "pos", "unit.*").where(F.lower("par").rlike(ANCHORS))
 
 
 def _grams(words: Column) -> Column:
@@ -215,7 +238,7 @@ def _grams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, par, family, probability, template_share, confirmed of each paragraph that isn't plainly unknown.
+    """doc_id, para, pos, par, line, family, probability, template_share, confirmed of each line or sentence that isn't plainly unknown.
 
     Null and empty texts have no paragraphs; equal rows are told apart by ``row_key`` if ``docs`` has one.
     """
@@ -224,20 +247,23 @@ def scan(docs: DataFrame) -> DataFrame:
     kinds = ", ".join(f"w{i} double" for i in range(len(classes)))
     table = spark.createDataFrame([(g, *map(float, w)) for g, w in weights.items()], f"gram string, {kinds}")  # the model: a few thousand rows
     words = F.regexp_extract_all(F.lower("par"), F.lit(WORD), F.lit(0))
-    pars = paragraphs(docs).withColumn("words", words).withColumn("pid", F.xxhash64("doc_id", "pos", "par"))
+    pars = paragraphs(docs).withColumn("words", words).withColumn("pid", F.xxhash64("doc_id", "para", "pos", "par"))
     sums = [(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) + float(bias[i])).alias(f"z{i}") for i in range(len(classes))]
-    scored = pars.dropDuplicates(["doc_id", "pid"]).select("doc_id", "pos", "par", "words", "pid", F.explode_outer(_grams(F.col("words"))).alias("gram"))
-    scored = scored.join(F.broadcast(table), "gram", "left").groupBy("doc_id", "pos", "pid").agg(F.first("par").alias("par"), F.first("words").alias("words"), *sums)
+    scored = pars.dropDuplicates(["doc_id", "pid"]).select("doc_id", "para", "pos", "par", "line", "words", "pid", F.explode_outer(_grams(F.col("words"))).alias("gram"))
+    scored = scored.join(F.broadcast(table), "gram", "left").groupBy("doc_id", "para", "pos", "line", "pid").agg(F.first("par").alias("par"), F.first("words").alias("words"), *sums)
     zs = [F.col(f"z{i}") for i in range(len(classes))]
     top = F.greatest(*zs)
     total = sum((F.exp(z - top) for z in zs[1:]), F.exp(zs[0] - top))
     best = F.array_position(F.array(*zs), top)
-    scored = scored.select("doc_id", "pos", "par", F.array_distinct("words").alias("words"), F.element_at(F.array(*map(F.lit, classes)), best.cast("int")).alias("family"), F.round(F.lit(1.0) / total, 6).alias("probability"))
+    scored = scored.select("doc_id", "para", "pos", "par", "line", F.array_distinct("words").alias("words"), F.element_at(F.array(*map(F.lit, classes)), best.cast("int")).alias("family"), F.round(F.lit(1.0) / total, 6).alias("probability"))
     shares = F.lit(0.0)
     for family, texts in TEMPLATES.items():
         for t in texts:
             w = sorted(set(words_of(t)))
             share = F.size(F.array_intersect("words", F.array(*map(F.lit, w)))) / F.lit(len(w))
+            own = sorted(set(w) - {x for other, ts in TEMPLATES.items() if other != family for y in ts for x in words_of(y)})
+            if own:  # "licensed under the", the end of a wrapped line, is no MIT notice
+                share = F.when(F.arrays_overlap("words", F.array(*map(F.lit, own))), share).otherwise(0.0)
             shares = F.greatest(shares, F.when(F.col("family") == family, share).otherwise(0.0))
     scored = scored.withColumn("template_share", F.round(shares, 6))
     return scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("probability") >= SURE) & (F.col("template_share") >= AGREES)).drop("words")
@@ -245,16 +271,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def licenses(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, families (sorted distinct array of the confirmed ones), family (of the surest confirmed
-    paragraph, else ``unknown`` if a paragraph looked like a licence, else ``none``), probability, template_share, n_paragraphs.
+    line or sentence, else ``unknown`` if one looked like a licence, else ``none``), probability, template_share, n_paragraphs (the
+    confirmed lines; a family that a paragraph shows in no single line counts once).
 
     Null and empty texts give ``none``. Repeated rows stay repeated; rows with one id and different texts share a result.
     """
     found = scan(docs.select("doc_id", "text"))
-    order = F.struct(F.col("confirmed"), F.col("probability"), F.col("template_share"), (-F.col("pos")).alias("p"), F.col("family"))
+    order = F.struct(F.col("confirmed"), F.col("probability"), F.col("template_share"), (-F.col("para")).alias("b"), (-F.col("pos")).alias("p"), F.col("family"))
+    found = found.groupBy("doc_id", "para", "family", "confirmed").agg(F.max(order).alias("best"), F.greatest(F.count_if("line"), F.lit(1)).alias("n"))
     best = found.groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),  # as many as families at most
-        F.max(order).alias("best"),
-        F.count_if(F.col("confirmed")).alias("n_paragraphs"),
+        F.max("best").alias("best"),
+        F.sum(F.when(F.col("confirmed"), F.col("n"))).alias("n_paragraphs"),
     ).withColumnRenamed("doc_id", "_id")
     return docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id",

@@ -201,6 +201,36 @@ def test_license_scan(spark):
     assert got[7].families == ["bsd", "gpl"] and got[7].n_paragraphs == 2
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software.
+"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Keep this.
+"""
+BSD_HEADER = "// Use of this source code is governed by a BSD-style\r\n// license that can be found in the LICENSE file.\r\n\r\nint x;\r\n"
+GPL = "some prose\nThis work is licensed under the\nGNU General Public License, version 3.\nmore prose"
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    rng = random.Random(9)
+    far = "\n".join(prose(rng, 9) for _ in range(400)).split("\n")  # template words far apart are no notice
+    for k, w in zip(range(0, 400, 80), ["released", "under the", "mit", "license", "was"], strict=True):
+        far[k] += " " + w
+    texts = [MIT, BSD, BSD_HEADER, GPL, "\n".join(far), "\n".join(far[:100]) + "\n" + GPL, GPL + "\n" + GPL.replace("\n", " ")]
+    got = {r.doc_id: r for r in license_scan.licenses(make(spark, texts)).collect()}
+    assert [got[i].families for i in range(7)] == [["mit"], ["bsd"], ["bsd"], ["gpl"], [], ["gpl"], ["gpl"]]
+    assert [got[i].n_paragraphs for i in (0, 1, 2, 3, 4)] == [1, 1, 1, 1, 0]
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, corpus):
     pipeline = importlib.import_module("corpus_pipeline")
     columns = "doc_id long, text string, lang string, source string, n_chars long"
