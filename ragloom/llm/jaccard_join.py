@@ -249,7 +249,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
             pairs = both.where((F.col("k") >= F.col("p")) & ((F.col("k") + rest) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"))
         pairs = materialise(pairs, "candidates")
         if pairs.isEmpty():
-            break
+            continue  # without a star candidate the pair round still has all to do
         new = linked(docs, pairs, size, percent)
         links = new if links is None else links.unionByName(new)
         edges = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -231,6 +231,20 @@ def test_license_scan_of_wrapped_notices(spark):
     assert [got[i].n_paragraphs for i in (0, 1, 2, 3, 4)] == [1, 1, 1, 1, 0]
 
 
+def test_jaccard_join_without_star_candidates(spark):
+    rng = random.Random(12)
+    word = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+    base, other = word(200), word(1000)
+    one, two = list(base), list(base)
+    one[60], two[140] = "first", "second"
+    texts = [" ".join(x) for x in (base + other, one, two, *[other] * 5)]  # the first quotes the pair, and leads its tokens
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    alike = {(i, j) for j in range(8) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert alike == {(1, 2)} | {(i, j) for j in range(3, 8) for i in range(3, j)}
+    got = jaccard_join.similar_groups(make(spark, texts), 4, 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 1, 2: 1} | dict.fromkeys(range(3, 8), 3)
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, corpus):
     pipeline = importlib.import_module("corpus_pipeline")
     columns = "doc_id long, text string, lang string, source string, n_chars long"
