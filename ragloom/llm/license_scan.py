@@ -7,7 +7,8 @@ such a word is unknown by the model itself, and the scan can skip it without cha
 template of the same family shares enough of its words with the paragraph, one that no other family has among them if it has such.
 
 Notices are wrapped as often as not, so what is classified are the lines of a text and also the sentences of its paragraphs,
-which reach over line ends. Long sentences are read in overlapping windows: a template's words must stand close together.
+which reach over line ends. Long sentences are read in overlapping windows: a template's words must stand close together. Each
+unit yields its likeliest family; the clauses of a sentence are units too, so a choice of licences yields each of them.
 """
 
 from __future__ import annotations
@@ -115,6 +116,9 @@ WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]"
 #: A paragraph ends at lines without a letter or digit (empty ones, bare comment markers, rules), a sentence at its stop.
 PARAGRAPH = r"(?:\r\n|\n|\r(?!\n))(?:[^\p{L}\p{N}\r\n]*(?:\r\n|\n|\r(?!\n)))+"
 SENTENCE = r"(?<=[.!?])[\"')\]]*\s+(?!\d)"
+#: Words that a list of licences follows, and where a sentence is cut so that each licence named stands with them alone.
+LEAD = r"(?i)\b(?:licen[cs]ed|released|distributed|available|offered)\s+under|spdx-license-identifier:"
+CLAUSE = r"(?i)[\s(]+(?:and/or|and|or)\s+|(?<=[\w.])/(?=(?:mit|apache|[al]?gpl|bsd|mpl|cc)\b)|\s+(?=(?:licen[cs]ed|released|distributed|available|offered)\s+under|spdx-license-identifier:)"
 #: Words of a window, twice the longest template's.
 WINDOW = 64
 #: Least probability of a family, and least share of a template's words that are in the paragraph or the reverse.
@@ -207,18 +211,24 @@ def _usable(gram: str, anchor) -> bool:
 
 
 def _sentences(block: Column) -> Column:
-    """The sentences of a paragraph, those of more than WINDOW words as windows that overlap by half."""
+    """The sentences of a paragraph, those of more than WINDOW words as windows that overlap by half, and the clauses of each."""
 
     def windows(sentence):
         words = F.split(sentence, r"\s+")
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
         return F.when(F.size(words) <= WINDOW, F.array(sentence)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " ")))
 
-    return F.flatten(F.transform(F.split(block, SENTENCE), windows))
+    def clauses(window):
+        lead = F.regexp_extract(window, LEAD, 0)
+        parts = F.transform(F.split(window, CLAUSE), lambda c: F.when(c.rlike(LEAD), c).otherwise(F.concat_ws(" ", lead, c)))
+        return F.when(F.size(parts) > 1, F.concat(F.array(window), parts)).otherwise(F.array(window))
+
+    found = F.filter(F.flatten(F.transform(F.split(block, SENTENCE), windows)), lambda w: F.lower(w).rlike(ANCHORS))
+    return F.flatten(F.transform(found, clauses))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, para, pos, text and whether it's a line, of the paragraphs' lines and sentences that can have a feature."""
+    """doc_id, para, pos, text and whether it's a line, of the paragraphs' lines, sentences and clauses that can have a feature."""
     low = F.lower("text")
     may = low.contains(STEMS[0])
     for s in STEMS[1:]:

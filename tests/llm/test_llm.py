@@ -245,6 +245,20 @@ def test_jaccard_join_without_star_candidates(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 1, 2: 1} | dict.fromkeys(range(3, 8), 3)
 
 
+def test_license_scan_of_several_licences(spark):
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."
+    cases = [
+        ("Licensed under either of Apache License, Version 2.0 or the MIT license", ["apache-2.0", "mit"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["apache-2.0", "mit"]),
+        ("Some prose is here. Released under the MIT License. More of it follows. Licensed under CC BY-NC 4.0. The end.", ["cc-by-nc", "mit"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["cc-by-nc"]),
+        (lesser, ["lgpl"]),
+        ("Licensed under the MIT license or the license of your choice and the terms of the contract", ["mit"]),
+    ]
+    got = {r.doc_id: r.families for r in license_scan.licenses(make(spark, [t for t, _ in cases])).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(cases)}
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, corpus):
     pipeline = importlib.import_module("corpus_pipeline")
     columns = "doc_id long, text string, lang string, source string, n_chars long"
