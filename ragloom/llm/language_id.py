@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, crc_mod, documents, small_batches
-from .sketches import sample, slices, summed
+from .sketches import slices, summed
 
 WIDTH, ORDERS, PIECE = 1 << 17, 3, 1 << 18
-#: Labelled documents that the weights are learnt from (documented bound); frequencies use all.
-SAMPLE = 3000
+#: Labelled documents that the weights are learnt from (documented bound); frequencies use all. Each language has the same number
+#: of them, or all it has, and never fewer than LEAST for the sake of the bound.
+SAMPLE, LEAST = 3000, 30
 
 
 def grams(text: str):
@@ -71,6 +72,19 @@ def sparse_rows(docs: DataFrame) -> list:
     return [(lang, f.values.to_numpy(), v.values.to_numpy()) for lang, f, v in zip(rows["lang"].to_pylist(), rows["f"], rows["v"], strict=True)]
 
 
+def sample_of_each(docs: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """About ``most`` rows, the same ones each time; every language of ``docs`` is among them. All rows if there are no more."""
+    sizes = dict(docs.groupBy("lang").count().collect())  # one number a language, as the model has a column for each
+    if sum(sizes.values()) <= most:
+        return docs
+    left, each = most, LEAST
+    for k, n in enumerate(sorted(sizes.values())):  # what small languages leave, the others share
+        each = max(LEAST, left // (len(sizes) - k))
+        left -= min(n, each)
+    rates = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, (1 << 40) if n <= each else int(each / n * (1 << 40)))))
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) < rates[F.col("lang")])
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -81,7 +95,9 @@ def learn(rows: list, langs: list[str], idf: np.ndarray, alpha=2.0, beta=1.0, l1
     at = {x: k for k, x in enumerate(langs)}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
-    held, train = order[: len(rows) // 5], order[len(rows) // 5 :]
+    last = {rows[i][0]: i for i in order}  # a row of each language is trained on, however rare
+    fifth = np.array([k < len(rows) // 5 and last[rows[i][0]] != i for k, i in enumerate(order)], bool)
+    held, train = order[fifth], order[~fifth]
     z, n = np.zeros((len(idf), len(langs))), np.zeros((len(idf), len(langs)))
 
     def weights(z, n):
@@ -119,7 +135,7 @@ def identify(docs: DataFrame, train: DataFrame, most: int = SAMPLE) -> DataFrame
     small_batches(spark)
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sparse_rows(sample(train, "doc_id", most))
+    rows = sparse_rows(sample_of_each(train, most))
     langs = sorted({r[0] for r in rows})
     if langs:
         df, n = document_frequencies(train)

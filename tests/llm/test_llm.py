@@ -259,6 +259,16 @@ def test_license_scan_of_several_licences(spark):
     assert got == {i: f for i, (_, f) in enumerate(cases)}
 
 
+def test_language_id_learns_rare_languages(spark):
+    rng = random.Random(3)
+    words = {"aa": ["the", "and", "thing", "other"], "bb": ["der", "und", "schön", "nicht"], "cc": ["qué", "año", "llama", "niño"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=30)), k) for i in range(1203) for k in ["cc" if i >= 1200 else "ab"[i % 2] * 2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, docs, most=60).collect()}
+    assert {got[i] for i in range(1200, 1203)} == {"cc"} and sum(got[i] == k for i, _, k in rows) >= 0.97 * len(rows)
+    assert 40 <= language_id.sample_of_each(docs, 60).count() <= 90
+
+
 def test_pipeline_keeps_columns(spark, tmp_path, corpus):
     pipeline = importlib.import_module("corpus_pipeline")
     columns = "doc_id long, text string, lang string, source string, n_chars long"
