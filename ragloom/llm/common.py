@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows that one Arrow batch carries to a Python worker; long texts make larger batches too big for small executors.
 ARROW_ROWS = 1000
@@ -40,10 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors, gives the planner true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).table(df, tag)
+
+
+class Scratch:
+    """Intermediate tables of one operator in the shared folder. ``drop`` deletes those that nothing left to run reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.paths[tag] = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        for tag in tags or [*self.paths]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -51,6 +66,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
 
 
+def schema_of(**columns: str | DataType) -> StructType:
+    """A schema by column; types as DDL text or as they are, so that fields of any name can be in them."""
+    return StructType([StructField(n, DataType.fromDDL(t) if isinstance(t, str) else t) for n, t in columns.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

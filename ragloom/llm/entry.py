@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLES = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

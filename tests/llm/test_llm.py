@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ragloom.llm import exact_dedup, fingerprints, jaccard_join, language_id, license_scan, packing, piece_codec, quality_rules, substring_dedup, token_counts
@@ -116,13 +117,67 @@ def test_substring_dedup(spark, corpus):
         kept = b" ".join(x for x, o in zip(w, off, strict=True) if not o)
         want.append((i, len(w), sum(off), hashlib.sha256(kept).hexdigest()))
     assert sum(x[2] for x in want) > 1000
-    got = substring_dedup.without_repeats(make(spark, corpus), keep=("doc_id",), texts=False)
+    got = substring_dedup.without_repeats(make(spark, corpus)).drop("kept")
     assert sorted(map(tuple, got.collect())) == want
-    assert substring_dedup.without_repeats(make(spark, []), keep=("doc_id",)).collect() == []
-    nulls = substring_dedup.without_repeats(make(spark, [corpus[3], corpus[3]], [None, 5]), keep=("doc_id", "kept"))
+    assert substring_dedup.without_repeats(make(spark, [])).collect() == []
+    nulls = substring_dedup.without_repeats(make(spark, [corpus[3], corpus[3]], [None, 5]))
     assert {r.doc_id: r.n_removed > 0 for r in nulls.collect()} == {None: len(corpus[3].split()) >= 50, 5: False}
 
 
+def test_substring_dedup_of_repeating_texts(spark):
+    """Texts that repeat themselves, share parts of passages, start and end inside them; repeated rows; long passages in many documents."""
+    rng = random.Random(21)
+    long, other = prose(rng, 900).split(), prose(rng, 300).split()
+    some = lambda n: prose(rng, n).split()
+    texts = [long, some(20) + long[100:700] + some(20), long[650:] + other, other[:200] + long[:60] + other[200:], ["the"] * 400, ["the"] * 90 + some(60), ["a", "b", "c"] * 100, some(10) + ["a", "b", "c"] * 40]
+    texts += [some(30) + long[k : k + 300] + some(5) for k in range(0, 600, 37)] + [["the"] * 30 + long[300:400] + ["the"] * 70, long + long]
+    texts = [" ".join(w) for w in texts]
+    ids = [*range(len(texts)), 3, 5]
+    texts += [texts[3], texts[5]]
+    first, want = {}, []
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        w = t.split()
+        keys = [tuple(w[s : s + 50]) for s in range(len(w) - 49)]
+        off = [False] * len(w)
+        for s, k in enumerate(keys):
+            if first.setdefault(k, i) < i:
+                off[s : s + 50] = [True] * 50
+        want.append((i, len(w), sum(off), " ".join(x for x, o in zip(w, off, strict=True) if not o) if any(off) else t))
+    got = substring_dedup.without_repeats(make(spark, texts, ids)).drop("kept_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_substring_paths_compact(spark):
+    """A passage of many paths that always stands as a whole is one span, and a word repeated over and over is one path."""
+    rng = random.Random(22)
+    passage = prose(rng, 2000)
+    docs = make(spark, [passage, prose(rng, 100) + " " + passage, "x " * 5000]).select(*substring_dedup.prepared(None, "doc_id", "text"))
+    occ = substring_dedup.path_table(docs, 50, 16).withColumn("base", F.lit(0))
+    assert occ.where("rank = 2").count() == 1
+    shared = substring_dedup.nodes_of(occ).where(F.col("first.rank") < F.col("last"))
+    spans = substring_dedup.compacted(substring_dedup.nodes_of(occ))
+    assert shared.count() > 50 and spans.count() == 1
+
+
+def test_substring_dedup_verifies_words():
+    """A span whose digest isn't that of the words, as after a clash of hashes, isn't cut."""
+    words = [b"%d" % i for i in range(60)]
+    good = {"start": 2, "edges": 3, "digest": substring_dedup._digest(words[2:54])}
+    assert substring_dedup.covered(words, [good], 50).sum() == 52
+    assert substring_dedup.covered(words, [good | {"digest": b"else"}], 50).sum() == 0
+
+
+def test_substring_cut_keeps_clashing_columns(spark):
+    rng = random.Random(23)
+    passage = prose(rng, 80)
+    docs = make(spark, ["a " + passage, "b " + passage, None]).select("*", F.lit(1).alias("n_words"), F.lit("r").alias("row"), F.lit(2).alias("kept_sha256"), F.struct(F.lit(3).alias("a-b")).alias("cuts"), F.lit(4).alias("x.y"))
+    got = substring_dedup.cut(docs)
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [rows[i].text for i in range(3)] == ["a " + passage, "b", None] and [rows[i].n_chars for i in range(3)] == [len(passage) + 2, 1, None]
+    assert rows[1].kept == "k" and rows[1]["row"] == "r" and rows[1]["x.y"] == 4
+
+
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (5, 60)])
 def test_jaccard_join(spark, corpus, size, percent):
     sets = []
