@@ -7,7 +7,6 @@ read again. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ragloom.llm import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
 from ragloom.llm.common import documents, materialise
@@ -32,11 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document with a smaller id has too are cut out; every row stays."""
-    cols = docs.columns
-    others = tuple(c for c in cols if c not in ("text", "n_chars"))
-    found = substring_dedup.without_repeats(docs.select(*others, "text"), keep=others)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in cols))
+    return substring_dedup.cut(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
