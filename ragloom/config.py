@@ -11,6 +11,8 @@ class Config:
     parent_overlap: int = 100
     child_chars: int = 300
     child_overlap: int = 30
+    split_tokens: int = 300
+    split_tokens_overlap: int = 30
     per_retriever: int = 20
     min_score: float = 0.0
     rrf_k: int = 60
@@ -26,8 +28,30 @@ class Config:
     llm_fallback: bool = True
     simple_max_chars: int = 15
     complex_min_chars: int = 60
+    agentic: bool = True
     memory_main: int = 20
     memory_small: int = 10
 
 
 DEFAULT = Config()
+
+
+@dataclass(frozen=True)
+class Assistant:
+    """A declared assistant: its system text, how a user message is put (``{{message}}``), and what it may use."""
+
+    system: str | None = None
+    user: str = "{{message}}"
+    memory: int | None = None
+    memory_per_key: bool = True
+    retrieval: bool = False
+    tools: tuple[str, ...] = ()
+
+
+#: Assistants by name: the chat entry's two, one with a memory of its own per key, and one whose memory all callers share.
+ASSISTANTS = {
+    "main": Assistant(memory=DEFAULT.memory_main, retrieval=True, tools=("book", "cancel", "available")),
+    "agentic": Assistant(memory=DEFAULT.memory_main, tools=("search", "book", "cancel", "available", "files")),
+    "separate": Assistant(memory=DEFAULT.memory_small, tools=("add", "root")),
+    "shared": Assistant(memory=DEFAULT.memory_small, memory_per_key=False),
+}

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,16 +16,17 @@ BLANK = r"^[\x09-\x0d\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}
 TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 
-def _pack(units: str, most: int, overlap: int, joiner: str, v: str) -> str:
-    """Greedy packing of an array of strings into chunks of at most ``most`` characters."""
+def _pack(units: str, most: int, overlap: int, joiner: str, v: str, size: str = "length({})", tail: str = "right({}, {})", gap: int = 1) -> str:
+    """Greedy packing of an array of strings into chunks of at most ``most`` in ``size``; a joiner counts ``gap``. A chunk after the
+    first starts with the ``tail`` of the one before it where that leaves room."""
     a, x = f"a{v}", f"x{v}"
-    carry = f"concat(right({a}.cur, {overlap}), '{joiner}', {x})" if overlap else x
-    fits = f"least({overlap}, length({a}.cur)) + {len(joiner.encode().decode('unicode_escape'))} + length({x}) <= {most}"
+    cur, new = size.format(f"{a}.cur"), size.format(x)
+    carry = f"concat({tail.format(f'{a}.cur', overlap)}, '{joiner}', {x})" if overlap else x
     return (
         f"aggregate({units}, named_struct('done', cast(array() AS array<string>), 'cur', cast(NULL AS string)), ({a}, {x}) -> "
         f"CASE WHEN {a}.cur IS NULL THEN named_struct('done', {a}.done, 'cur', {x}) "
-        f"WHEN length({a}.cur) + 1 + length({x}) <= {most} THEN named_struct('done', {a}.done, 'cur', concat({a}.cur, '{joiner}', {x})) "
-        f"ELSE named_struct('done', concat({a}.done, array({a}.cur)), 'cur', CASE WHEN {fits} THEN {carry} ELSE {x} END) END, "
+        f"WHEN {cur} + {gap} + {new} <= {most} THEN named_struct('done', {a}.done, 'cur', concat({a}.cur, '{joiner}', {x})) "
+        f"ELSE named_struct('done', concat({a}.done, array({a}.cur)), 'cur', CASE WHEN least({overlap}, {cur}) + {gap} + {new} <= {most} THEN {carry} ELSE {x} END) END, "
         f"{a} -> CASE WHEN {a}.cur IS NULL THEN {a}.done ELSE concat({a}.done, array({a}.cur)) END)"
     )
 
@@ -35,30 +41,47 @@ def chunks_sql(text: str, most: int, overlap: int) -> str:
     return _pack(f"filter({units}, u -> u rlike '\\\\S')", most, overlap, "\\n", "0")
 
 
+#: Words of a text, which count as its tokens where chunks are measured in tokens.
+WORDS = "regexp_extract_all({}, '[^ \\\\n\\\\r\\\\t]+', 0)"
+
+
+def token_chunks_sql(text: str, most: int, overlap: int) -> str:
+    """`chunks_sql` measured in words: a paragraph, line or sentence that is too long is cut further, at last into single words."""
+    size, tail = f"size({WORDS})", "array_join(slice({w}, greatest(size({w}) - {n} + 1, 1), {n}), ' ')".replace("{w}", WORDS.replace("{}", "{0}")).replace("{n}", "{1}")
+    fits = lambda x: f"{size.format(x)} <= {most}"
+    words = _pack(WORDS.format("s"), most, 0, " ", "1", size, tail, 0)
+    sentences = f"flatten(transform(regexp_extract_all(l, '{SENTENCE}', 0), s -> CASE WHEN {fits('s')} THEN array(s) ELSE {words} END))"
+    lines = f"flatten(transform(split(p, '\\\\n'), l -> CASE WHEN {fits('l')} THEN array(l) ELSE {sentences} END))"
+    units = f"flatten(transform(split({text}, '\\\\n\\\\s*\\\\n'), p -> CASE WHEN {fits('p')} THEN array(p) ELSE {lines} END))"
+    return _pack(f"filter({units}, u -> {size.format('u')} > 0)", most, overlap, "\\n", "0", size, tail, 0)
+
+
 def tokens(col: str | Column) -> Column:
     """Lower-cased runs of letters and digits; each Han character is a token of its own."""
     c = F.col(col) if isinstance(col, str) else col
     return F.regexp_extract_all(F.regexp_replace(F.lower(c), r"([\x{4e00}-\x{9fff}])", " $1 "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def bucket(token: Column, dims: int) -> Column:
-    return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int")
+def bucket(token: str, dims: int) -> int:
+    """The dimension a token counts in: the first 32 bits of its MD5 modulo ``dims``."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dims
 
 
 def hash_embedding(col: str | Column, dims: int = 64) -> Column:
-    """Counts of hashed tokens, a stand-in for an embedding model that every engine can compute."""
-    hashed = F.transform(tokens(col), lambda t: bucket(t, dims))
-    dim = F.sequence(F.lit(0), F.lit(dims - 1))
-    # the array around it binds the hashes, so that they are computed once and not for each dimension
-    return F.transform(F.array(hashed), lambda hs: F.transform(dim, lambda i: F.size(F.filter(hs, lambda h: h == i)).cast("double")))[0]
+    """Counts of hashed tokens, a stand-in for an embedding model that every engine can compute. Batches of token lists are
+    counted at once; a null text has a null vector."""
 
+    @F.arrow_udf("array<double>")
+    def count(toks: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(toks), 0).to_numpy().astype(np.int64)
+        terms = toks.flatten().dictionary_encode()
+        of = np.array([bucket(t, dims) for t in terms.dictionary.to_pylist()], np.int64)
+        at = np.repeat(np.arange(len(length)), length) * dims + of[terms.indices.to_numpy()]
+        values = np.bincount(at, minlength=len(length) * dims).astype(np.float64)
+        offsets = pa.array(np.arange(len(length) + 1) * dims, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(values), mask=toks.is_null())
 
-def dot(a: str, b: str, dims: int) -> Column:
-    """Unrolled, so that it compiles into the join's generated code."""
-    total = F.col(a)[0].cast("double") * F.col(b)[0].cast("double")
-    for i in range(1, dims):
-        total = total + F.col(a)[i].cast("double") * F.col(b)[i].cast("double")
-    return total
+    return count(tokens(col))
 
 
 def trimmed(col: Column) -> Column:
@@ -76,3 +99,13 @@ def render(template: str, values: dict[str, Column]) -> Column:
 def conversation_id(uuid: Column) -> Column:
     """First six hex digits modulo a million (many to one)."""
     return F.conv(F.substring(F.regexp_replace(uuid, "-", ""), 1, 6), 16, 10).cast("long") % 1_000_000
+
+
+def get_or(counts: Column, key: str, default: int = 0) -> Column:
+    """A count of a map, or the default for a key it hasn't."""
+    return F.coalesce(F.try_element_at(counts, F.lit(key)), F.lit(default))
+
+
+def merge_counts(a: Column, b: Column) -> Column:
+    """Two maps of counts as one, counts of a key in both added up."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))

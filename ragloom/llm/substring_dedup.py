@@ -124,7 +124,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     found = later(shared, spans.join(digests, ["anchor", "span", "long"])).select(*ROW, "start", F.col("long").alias("edges"), "digest")
 
     inner = read.where("open").select("anchor", F.posexplode("hashes").alias("at", "span"), F.lit(1).alias("edges"), *ROW, F.col("start").alias("base"))
-    inner = tmp.table(inner.withColumn("start", F.col("base") + F.col("at")).drop("at"), "edges")
+    inner = inner.withColumn("start", F.col("base") + F.col("at")).drop("at")
+    often = inner.groupBy("anchor", "span").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("anchor", "span")
+    inner = tmp.table(inner.join(often, ["anchor", "span"], "left_semi"), "edges")
     same = later(inner, tmp.table(compacted(nodes_of(inner)), "edge-spans"))
     texts = read.where("open").select(*ROW, F.col("start").alias("base"), F.split(F.col("words"), " ").alias("words"))
     part = lambda words, place: F.slice(F.col(words), F.col(f"{place}start") - F.col(f"{place}base") + 1, F.col("long") - 1 + window)

@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import chunks_sql
+from ..functions.text import chunks_sql, token_chunks_sql
+
+
+def split(docs: DataFrame, most: int, overlap: int, measure: str = "chars") -> DataFrame:
+    """One row per chunk of ``text``: the other columns, ordinal and text. ``measure``: chars or tokens (words)."""
+    cut = {"chars": chunks_sql, "tokens": token_chunks_sql}[measure]("text", most, overlap)
+    return docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(F.expr(cut)).alias("ordinal", "text"))
 
 
 def parents(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """parent_id (doc_id#ordinal), ordinal, text, doc_id, source. Null and empty texts give no chunk."""
-    cut = docs.select("doc_id", "source", F.posexplode(F.expr(chunks_sql("text", cfg.parent_chars, cfg.parent_overlap))).alias("ordinal", "text"))
-    return cut.select(F.concat_ws("#", "doc_id", "ordinal").alias("parent_id"), "ordinal", "text", "doc_id", "source")
+    """parent_id (doc_id#ordinal), ordinal, text, doc_id, source, and metadata if ``docs`` has such a map of strings. Null and empty
+    texts give no chunk."""
+    own = [c for c in ("metadata",) if c in docs.columns]
+    cut = split(docs.select("doc_id", "source", "text", *own), cfg.parent_chars, cfg.parent_overlap)
+    return cut.select(F.concat_ws("#", "doc_id", "ordinal").alias("parent_id"), "ordinal", "text", "doc_id", "source", *own)
 
 
 def children(parents: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """child_id, parent_id, doc_id, ordinal, text, metadata (that of the parent, with parentId and docId set over it)."""
-    cut = parents.select("parent_id", "doc_id", "source", F.posexplode(F.expr(chunks_sql("text", cfg.child_chars, cfg.child_overlap))).alias("ordinal", "text"))
+    """child_id, parent_id, doc_id, ordinal, text, metadata: all of the parent's, with source, parentId and docId set over it."""
     own = F.create_map(F.lit("source"), F.col("source").cast("string"), F.lit("parentId"), F.col("parent_id"), F.lit("docId"), F.col("doc_id").cast("string"))
-    return cut.select(F.concat_ws("#", "parent_id", "ordinal").alias("child_id"), "parent_id", "doc_id", "ordinal", "text", own.alias("metadata"))
+    if "metadata" in parents.columns:
+        rest = F.map_filter("metadata", lambda k, v: ~k.isin("source", "parentId", "docId"))
+        own = F.map_concat(F.coalesce(rest, F.create_map().cast("map<string,string>")), own)
+    cut = split(parents.select("parent_id", "doc_id", own.alias("metadata"), "text"), cfg.child_chars, cfg.child_overlap)
+    return cut.select(F.concat_ws("#", "parent_id", "ordinal").alias("child_id"), "parent_id", "doc_id", "ordinal", "text", "metadata")
 
 
 def stats(docs: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:

@@ -38,3 +38,21 @@ def delete(store: DataFrame, ids: DataFrame, key: str = "conv_id") -> DataFrame:
 def get(store: DataFrame, conv_id) -> DataFrame:
     """Messages of one conversation in order; no rows, never null, for an unknown one."""
     return store.where(F.col("conv_id") == conv_id).orderBy("turn")
+
+
+def shared_window(messages: DataFrame, n: int, *order: str) -> DataFrame:
+    """`window` of one memory that all messages share, in the order of the columns ``order``: two top-k queries, so that no task
+    sorts all rows."""
+    down = [F.desc(c) for c in order]
+    system = F.col("role") == "system"
+    last = messages.where(system).orderBy(*down).limit(1)
+    others = messages.where(~system | F.col("role").isNull()).orderBy(*down).limit(n)
+    few = others.withColumn("_system", F.lit(0)).unionByName(last.withColumn("_system", F.lit(1)))  # n + 1 rows at most
+    nth = F.row_number().over(Window.orderBy(F.desc("_system"), *down))
+    return few.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n", "_system")
+
+
+def suffix(parts: DataFrame, whole: str, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Adds ``delta``: what the text ``whole`` has beyond that of the row before it, as a client shows a growing answer."""
+    before = F.coalesce(F.length(F.lag(whole).over(Window.partitionBy(key).orderBy(order))), F.lit(0))
+    return parts.withColumn("delta", F.substring(F.col(whole), before + 1, F.length(whole)))

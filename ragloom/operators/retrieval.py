@@ -1,60 +1,162 @@
-"""Two retrievers over chunks, in the long format query_id, retriever, rank, child_id, parent_id, text, score."""
+"""Two retrievers over chunks, in the long format query_id, variant, retriever, rank, child_id, score.
+
+Queries are rows of query_id and, if they come in several wordings, variant; every wording has ranked lists of its own.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DEFAULT, Config
-from ..functions.text import dot, hash_embedding, tokens
+from ..functions.text import hash_embedding, tokens
+from ..sources import files
+
+HIT = ["query_id", "variant", "retriever", "rank", "child_id", "score"]
+#: Bytes of query vectors that are broadcast at once; more queries go in several passes over the items.
+QUERY_BYTES = 16 << 20
+#: Scores that a task holds at once.
+SCORES = 1 << 22
+
 
-HIT = ["query_id", "retriever", "rank", "child_id", "score"]
+def keys_of(queries: DataFrame) -> list[str]:
+    return [c for c in ("query_id", "variant") if c in queries.columns]
 
 
 def postings(children: DataFrame, key: str = "child_id") -> DataFrame:
-    """term, key, tf, length of the chunk in tokens. Written once and reused, queries read only their terms."""
-    toks = children.select(key, tokens("text").alias("toks"))
-    return toks.select(key, F.size("toks").alias("length"), F.explode("toks").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """key, term, tf, length of the chunk in tokens; ``key`` names a row. Terms are counted where their chunk lies, without a
+    shuffle. Written once and reused, queries read only their terms."""
+    toks = children.select(key, tokens("text").alias("toks")).where("size(toks) > 0")
+    schema = StructType([toks.schema[key], *StructType.fromDDL("term string, tf long, length int").fields])
+
+    def run(batches):
+        for b in batches:
+            length = pc.list_value_length(b.column("toks")).to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = b.column("toks").flatten().dictionary_encode()
+            seen, tf = np.unique(np.repeat(np.arange(len(length)), length) * len(terms.dictionary) + terms.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(seen, max(1, len(terms.dictionary)))
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), terms.dictionary.take(pa.array(term)), pa.array(tf), pa.array(length[row].astype(np.int32))], names=schema.names)
+
+    return toks.mapInArrow(run, schema)
 
 
 def bm25(queries: DataFrame, children: DataFrame, cfg: Config = DEFAULT, k: int | None = None, key: str = "child_id", posted: DataFrame | None = None) -> DataFrame:
-    """Top k chunks a query, from stored postings if given. The query terms are broadcast only if they are few, else Spark joins by its own estimate."""
-    if posted is None:
-        lengths = children.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(tokens("text"))).alias("mean"))
-    else:
-        lengths = children.agg(F.count(F.lit(1)).alias("docs")).crossJoin(posted.agg(F.sum("tf").alias("all"))).select("docs", (F.col("all") / F.col("docs")).alias("mean"))
-    totals = lengths  # one row
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    post = (postings(children, key) if posted is None else posted).join(terms.select("term").distinct(), "term", "left_semi")
+    """Top k chunks a query. Without stored postings they are written first, so that the chunks are cut into tokens once."""
+    by = keys_of(queries)
+    posted = files.index(postings(children, key), "postings") if posted is None else posted
+    totals = children.agg(F.count(F.lit(1)).alias("docs")).crossJoin(posted.agg(F.sum("tf").alias("all")))  # one row
+    totals = totals.select("docs", (F.col("all") / F.col("docs")).alias("mean"))
+    terms = queries.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    post = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / F.col("mean")))
-    scored = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(totals)).groupBy("query_id", key).agg(F.round(F.sum(idf * tf), 6).alias("score"))
-    return top(scored, k or cfg.per_retriever, key).withColumn("retriever", F.lit("bm25"))
+    scored = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(totals)).groupBy(*by, key).agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    return top(scored, k or cfg.per_retriever, key, by).withColumn("retriever", F.lit("bm25"))
 
 
-def top(scored: DataFrame, k: int, key: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+def top(scored: DataFrame, k: int, key: str, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def embed(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return df.withColumn("embedding", hash_embedding("text", cfg.dims))
-
-
-def knn(queries: DataFrame, items: DataFrame, k: int, dims: int, min_score: float = 0.0, key: str = "child_id") -> DataFrame:
-    """Exact cosine search, score (1 + cosine) / 2. Vectors of zeros match nothing. The query batch is the broadcast side."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select("query_id", F.col("embedding").alias("qe")).withColumn("qn", norm("qe")).where("qn > 0")
-    x = items.select(key, F.col("embedding").alias("xe")).withColumn("xn", norm("xe")).where("xn > 0")
-    score = F.round((1 + dot("qe", "xe", dims) / (F.col("qn") * F.col("xn"))) / 2, 6)
-    scored = x.join(q, F.lit(True)).select("query_id", key, score.alias("score"))
-    if min_score > 0:  # no score is below 0
-        scored = scored.where(F.col("score") >= min_score)
-    return top(scored, k, key).withColumn("retriever", F.lit("knn"))
-
-
-def expand(questions: DataFrame, variants=None) -> DataFrame:
-    """query_id, variant, text. ``variants``: a column of further texts (array), for an expansion model."""
-    texts = F.array("text") if variants is None else F.concat(F.array("text"), variants)
+def embed(df: DataFrame, cfg: Config = DEFAULT, embedder=hash_embedding) -> DataFrame:
+    """``embedder``: (column, dims) -> column of arrays, for an embedding model."""
+    return df.withColumn("embedding", embedder("text", cfg.dims))
+
+
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as rows, which rows have one): null vectors and those of other sizes are zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False).to_numpy(zero_copy_only=False)
+    x = np.zeros((len(fits), dims))
+    x[fits] = pc.fill_null(column.filter(pa.array(fits)).flatten().cast(pa.float64()), 0.0).to_numpy().reshape(-1, dims)
+    return x, fits
+
+
+def best_of(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores of each query, ties by key."""
+    _, name = np.unique(key, return_inverse=True)
+    order = np.lexsort((name, -score, query))
+    q = query[order]
+    start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    nth = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate([start, [len(q)]])))
+    return order[nth < k]
+
+
+def _nearest(vectors: np.ndarray, items: DataFrame, k: int, min_score: float, key: str) -> DataFrame:
+    """(q, key, score): the k best of every partition for each row of ``vectors``, by matrix products over Arrow batches."""
+    schema = StructType([StructField("q", LongType()), items.schema[key], *StructType.fromDDL("score double").fields])
+    norms = np.sqrt((vectors * vectors).sum(1))
+    shared = items.sparkSession.sparkContext.broadcast((vectors.T.copy(), norms))  # QUERY_BYTES at most, or one query
+
+    def run(batches):
+        turned, qn = shared.value
+        rows = max(1, SCORES // max(1, len(qn)))
+        query, score, name = np.zeros(0, np.int64), np.zeros(0), None
+        floor = np.full(len(qn), -np.inf)  # the k-th best so far
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                x, _ = _matrix(b.column("embedding"), len(turned))
+                xn = np.sqrt((x * x).sum(1))
+                use = np.flatnonzero(xn > 0)
+                if not len(use):
+                    continue
+                s = (1 + x[use] @ turned / (qn * xn[use, None])) / 2
+                s = np.floor(s * 1e6 + 0.5) / 1e6  # rounded before it is ranked, so that ties are ties in every engine
+                least = np.maximum(np.partition(s, len(use) - k, axis=0)[len(use) - k] if len(use) > k else -np.inf, floor)
+                i, j = np.nonzero((s >= least) & (s >= min_score))
+                own = pc.take(b.column(key), pa.array(use[i]))
+                query, score = np.concatenate([query, j]), np.concatenate([score, s[i, j]])
+                name = own if name is None else pa.concat_arrays([name, own])
+                best = best_of(query, score, name.to_numpy(zero_copy_only=False), k) if len(query) else query
+                query, score, name = query[best], score[best], name.take(pa.array(best))
+                found = np.bincount(query, minlength=len(qn)) == k
+                lowest = np.full(len(qn), np.inf)
+                np.minimum.at(lowest, query, score)
+                floor = np.where(found, lowest, floor)
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(query), name, pa.array(score)], names=schema.names)
+
+    return items.select(key, "embedding").mapInArrow(run, schema)
+
+
+def knn(queries: DataFrame, items: DataFrame, k: int, min_score: float = 0.0, key: str = "child_id", dims: int = DEFAULT.dims) -> DataFrame:
+    """Exact cosine search, score (1 + cosine) / 2. Null vectors, those of another size and vectors of zeros match nothing.
+
+    The vectors of the queries are one matrix, which goes to all tasks while it has QUERY_BYTES at most; more queries are dealt into
+    blocks, each with a pass of its own over the items. A task hands on k rows a query.
+    """
+    spark, by = queries.sparkSession, keys_of(queries)
+    blocks = max(1, -(-queries.count() * dims * 8 // QUERY_BYTES))
+    found = None
+    for i in range(blocks):
+        part = queries.select(*by, "embedding")
+        part = (part if blocks == 1 else part.where(F.pmod(F.xxhash64(*by), F.lit(blocks)) == i)).toArrow()
+        vectors, _ = _matrix(part["embedding"], dims)
+        use = np.flatnonzero((vectors * vectors).sum(1) > 0)
+        names = part.select(by).take(pa.array(use)).append_column("q", pa.array(np.arange(len(use))))
+        names = spark.createDataFrame(names, StructType([*(queries.schema[c] for c in by), StructField("q", LongType())]))
+        scored = _nearest(vectors[use], items, k, min_score, key).join(F.broadcast(names), "q").drop("q")  # a block's queries
+        found = scored if found is None else found.unionByName(scored)
+    return top(found, k, key, by).withColumn("retriever", F.lit("knn"))
+
+
+def long_words(text: str):
+    """Stand-in for an expansion model: the words of five characters or more as a second wording."""
+    return F.array(F.array_join(F.filter(tokens(text), lambda t: F.length(t) > 4), " "))
+
+
+def expand(questions: DataFrame, cfg: Config = DEFAULT, expander=long_words) -> DataFrame:
+    """query_id, variant, text: the question as asked (variant 0) and up to ``cfg.variants`` - 1 texts of ``expander``, a function
+    from a column's name to an array of texts; null and blank ones are left out."""
+    texts = F.array("text")
+    if cfg.variants > 1:
+        more = F.filter(F.coalesce(expander("text"), F.array().cast("array<string>")), lambda t: F.length(F.trim(t)) > 0)
+        texts = F.concat(texts, F.slice(more, 1, cfg.variants - 1))
     return questions.select("query_id", F.posexplode(texts).alias("variant", "text"))

@@ -41,11 +41,12 @@ REQUESTS = [
     (5, "李四", "223456789012345678", "外科", "2025-04-15", "下午", "王医生"),
 ]
 TEMPLATE = "你是{{username}}的助手，今年{{age}}岁。{{message}}"
-INJECT = "\n\nAnswer using the following information:\n"
+DATED = "{{message}} （今天是 {{current_date}}）"
+FILES = [("a.txt", "alpha beta\n"), ("b.md", "# gamma\n\ndelta"), ("c.csv", "no"), ("sub/d.txt", "epsilon")]
 
 
 def write_files(path: str) -> None:
-    for name, text in (("a.txt", "alpha beta\n"), ("b.md", "# gamma\n\ndelta"), ("c.csv", "no"), ("sub/d.txt", "epsilon")):
+    for name, text in FILES:
         os.makedirs(os.path.dirname(f"{path}/{name}"), exist_ok=True)
         with open(f"{path}/{name}", "w", encoding="utf-8") as f:
             f.write(text)

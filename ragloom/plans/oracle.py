@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .. import engine
 from ..config import DEFAULT
 from ..functions.text import BLANK, SENTENCE, TRIM
 from ..operators import booking, fusion, routing
@@ -12,24 +13,35 @@ def _q(s: str | None) -> str:
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
-def _pack(units: str, most: int, overlap: int, joiner: str) -> str:
-    carry = f"CASE WHEN least({overlap}, length(a.cur)) + 1 + length(x.cur) <= {most} THEN right(a.cur, {overlap}) || {joiner} || x.cur ELSE x.cur END" if overlap else "x.cur"
+_WORDS = "regexp_extract_all({}, '[^ \\n\\r\\t]+')"
+#: (size of a text, its last n characters or words, what a joiner counts)
+_CHARS = ("length({})", "right({}, {})", 1)
+_TOKENS = (f"len({_WORDS})", "array_to_string(" + _WORDS.replace("{}", "{0}") + "[-{1}:], ' ')", 0)
+
+
+def _pack(units: str, most: int, overlap: int, joiner: str, measure=_CHARS) -> str:
+    size, tail, gap = measure
+    cur, new = size.format("a.cur"), size.format("x.cur")
+    carry = f"CASE WHEN least({overlap}, {cur}) + {gap} + {new} <= {most} THEN {tail.format('a.cur', overlap)} || {joiner} || x.cur ELSE x.cur END" if overlap else "x.cur"
     start = f"list_transform({units}, lambda u: {{'done': []::VARCHAR[], 'cur': u}})"
-    step = f"CASE WHEN length(a.cur) + 1 + length(x.cur) <= {most} THEN {{'done': a.done, 'cur': a.cur || {joiner} || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': {carry}}} END"
+    step = f"CASE WHEN {cur} + {gap} + {new} <= {most} THEN {{'done': a.done, 'cur': a.cur || {joiner} || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': {carry}}} END"
     return f"(SELECT CASE WHEN len(pk) = 0 THEN []::VARCHAR[] ELSE list_append(r.done, r.cur) END FROM (SELECT pk, CASE WHEN len(pk) > 0 THEN list_reduce(pk, lambda a, x: {step}) END AS r FROM (SELECT {start} AS pk)))"
 
 
-def _chunks(table: str, key: str, others: str, most: int, overlap: int) -> str:
+def _chunks(table: str, key: str, others: str, most: int, overlap: int, measure=_CHARS) -> str:
     """Units level by level as rows, then packed: (key, others, chunks)."""
+    fits = lambda c: f"{measure[0].format(c)} <= {most}"
+    cut = f"flatten(list_transform(ws, lambda x: list_transform(generate_series(0, (length(x) - 1) // {most}), lambda n: substr(x, n * {most} + 1, {most}))))"
+    words, cut = ("list_filter(string_split(s, ' '), lambda x: length(x) > 0)", cut) if measure is _CHARS else (_WORDS.format("s"), "ws")
     u = f"""
     p AS (SELECT {key}, {others}, unnest(string_split_regex(text, '\\n\\s*\\n')) AS p, generate_subscripts(string_split_regex(text, '\\n\\s*\\n'), 1) AS i FROM {table}),
-    l AS (SELECT {key}, {others}, i, unnest(CASE WHEN length(p) <= {most} THEN [p] ELSE string_split(p, chr(10)) END) AS l, unnest(generate_series(1, len(CASE WHEN length(p) <= {most} THEN [p] ELSE string_split(p, chr(10)) END))) AS j FROM p),
-    s AS (SELECT {key}, {others}, i, j, unnest(CASE WHEN length(l) <= {most} THEN [l] ELSE regexp_extract_all(l, '{SENTENCE}') END) AS s, unnest(generate_series(1, len(CASE WHEN length(l) <= {most} THEN [l] ELSE regexp_extract_all(l, '{SENTENCE}') END))) AS k FROM l),
-    w AS (SELECT *, list_filter(string_split(s, ' '), lambda x: length(x) > 0) AS ws FROM s),
-    c AS (SELECT * EXCLUDE (ws), flatten(list_transform(ws, lambda x: list_transform(generate_series(0, (length(x) - 1) // {most}), lambda n: substr(x, n * {most} + 1, {most})))) AS cs FROM w),
-    u AS (SELECT {key}, {others}, i, j, k, CASE WHEN length(s) <= {most} THEN [s] ELSE {_pack('cs', most, 0, "' '")} END AS us FROM c),
+    l AS (SELECT {key}, {others}, i, unnest(CASE WHEN {fits("p")} THEN [p] ELSE string_split(p, chr(10)) END) AS l, unnest(generate_series(1, len(CASE WHEN {fits("p")} THEN [p] ELSE string_split(p, chr(10)) END))) AS j FROM p),
+    s AS (SELECT {key}, {others}, i, j, unnest(CASE WHEN {fits("l")} THEN [l] ELSE regexp_extract_all(l, '{SENTENCE}') END) AS s, unnest(generate_series(1, len(CASE WHEN {fits("l")} THEN [l] ELSE regexp_extract_all(l, '{SENTENCE}') END))) AS k FROM l),
+    w AS (SELECT *, {words} AS ws FROM s),
+    c AS (SELECT * EXCLUDE (ws), {cut} AS cs FROM w),
+    u AS (SELECT {key}, {others}, i, j, k, CASE WHEN {fits("s")} THEN [s] ELSE {_pack("cs", most, 0, "' '", measure)} END AS us FROM c),
     g AS (SELECT {key}, {others}, list_filter(flatten(list(us ORDER BY i, j, k)), lambda x: regexp_matches(x, '\\S')) AS us FROM u GROUP BY {key}, {others}),
-    d AS (SELECT {key}, {others}, {_pack('us', most, overlap, 'chr(10)')} AS cs FROM g)
+    d AS (SELECT {key}, {others}, {_pack("us", most, overlap, "chr(10)", measure)} AS cs FROM g)
     """
     return f"(WITH {u} SELECT {key}, {others}, unnest(cs) AS text, unnest(generate_series(0, len(cs) - 1)) AS ordinal FROM d)"
 
@@ -42,44 +54,62 @@ def _toks(c: str) -> str:
     return f"regexp_extract_all(regexp_replace(lower({c}), '([\\x{{4e00}}-\\x{{9fff}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def _bm25(items: str, key: str, k: int) -> str:
+def _bm25(items: str, key: str, k: int, queries: str = "(SELECT item_id AS query_id, 0 AS variant, text FROM benchmark)") -> str:
     return f"""
-    bt AS (SELECT {key}, {_toks('text')} AS ts FROM {items}),
+    bt AS (SELECT {key}, {_toks("text")} AS ts FROM {items}),
     st AS (SELECT count(*) AS docs, avg(len(ts)) AS mean FROM bt),
     po AS (SELECT {key}, term, n, count(*) AS tf FROM (SELECT {key}, len(ts) AS n, unnest(ts) AS term FROM bt) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-    qt AS (SELECT item_id AS query_id, unnest(list_distinct({_toks('text')})) AS term FROM benchmark),
-    sc AS (SELECT query_id, {key}, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * {DEFAULT.bm25_k1 + 1} / (tf + {DEFAULT.bm25_k1} * ({1 - DEFAULT.bm25_b} + {DEFAULT.bm25_b} * n / mean)))), 6) AS score
+    qt AS (SELECT query_id, variant, unnest(list_distinct({_toks("text")})) AS term FROM {queries}),
+    sc AS (SELECT query_id, variant, {key}, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * {DEFAULT.bm25_k1 + 1} / (tf + {DEFAULT.bm25_k1} * ({1 - DEFAULT.bm25_b} + {DEFAULT.bm25_b} * n / mean)))), 6) AS score
       FROM po JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL),
-    bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM sc) WHERE rank <= {k})"""
+    bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, {key}) AS rank FROM sc) WHERE rank <= {k})"""
 
 
 def _embed(c: str) -> str:
     return f"(SELECT list_transform(generate_series(0, {DEFAULT.dims - 1}), lambda i: len(list_filter(hs, lambda h: h = i))::DOUBLE) FROM (SELECT list_transform({_toks(c)}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {DEFAULT.dims}) AS hs))"
 
 
-def _knn(queries: str, items: str, key: str, k: int) -> str:
+def _knn(queries: str, items: str, key: str, k: int, min_score: float = DEFAULT.min_score, p: str = "k") -> str:
     return f"""
-    kq AS (SELECT query_id, e, sqrt(list_dot_product(e, e)) AS n FROM {queries}),
-    ki AS (SELECT {key}, e, sqrt(list_dot_product(e, e)) AS n FROM {items}),
-    ks AS (SELECT query_id, {key}, round((1 + list_dot_product(kq.e, ki.e) / (kq.n * ki.n)) / 2, 6) AS score FROM kq, ki WHERE kq.n > 0 AND ki.n > 0),
-    kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM ks WHERE score >= {DEFAULT.min_score}) WHERE rank <= {k})"""
+    {p}q AS (SELECT query_id, variant, e, sqrt(list_dot_product(e, e)) AS n FROM {queries}),
+    {p}i AS (SELECT {key}, e, sqrt(list_dot_product(e, e)) AS n FROM {items}),
+    {p}s AS (SELECT query_id, variant, {key}, round((1 + list_dot_product(q.e, i.e) / (q.n * i.n)) / 2, 6) AS score FROM {p}q q, {p}i i WHERE q.n > 0 AND i.n > 0),
+    {p}n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, {key}) AS rank FROM {p}s WHERE score >= {min_score}) WHERE rank <= {k})"""
 
 
-_VEC = "(SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0)"
+_VEC = "(SELECT vec_id AS query_id, 0 AS variant, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0)"
 _VECS = "(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
-_QE, _CE = f"(SELECT item_id AS query_id, {_embed('text')} AS e FROM benchmark)", f"(SELECT child_id, {_embed('text')} AS e FROM children)"
-HITS = f"""{CHILDREN}, {_bm25('children', 'child_id', DEFAULT.per_retriever)}, {_knn(_QE, _CE, 'child_id', DEFAULT.per_retriever)},
-    hits AS (SELECT h.*, parent_id, doc_id, text FROM (SELECT query_id, 'bm25' AS retriever, rank, child_id FROM bm UNION ALL SELECT query_id, 'knn', rank, child_id FROM kn) h JOIN children USING (child_id)),
-    fused AS (SELECT query_id, text, round(sum(1.0::DOUBLE / ({DEFAULT.rrf_k} + rank)), 10) AS score, first(child_id ORDER BY retriever, rank, child_id, parent_id) AS child_id, first(parent_id ORDER BY retriever, rank, child_id, parent_id) AS parent_id FROM hits GROUP BY query_id, text),
+_CE = f"(SELECT child_id, {_embed('text')} AS e FROM children)"
+_ONE = "(SELECT item_id AS query_id, 0 AS variant, text FROM benchmark)"
+_TWO = f"(SELECT query_id, variant, text FROM (SELECT item_id AS query_id, 0 AS variant, text FROM benchmark UNION ALL SELECT item_id, 1, array_to_string(list_filter({_toks('text')}, lambda t: length(t) > 4), ' ') FROM benchmark) WHERE variant = 0 OR length(trim(text)) > 0)"
+_QE = f"(SELECT item_id AS query_id, 0 AS variant, {_embed('text')} AS e FROM benchmark)"
+
+
+def _hits(queries: str = _ONE) -> str:
+    """Both retrievers over all wordings, fused, and what follows up to the texts of the answer."""
+    vectors = f"(SELECT query_id, variant, {_embed('text')} AS e FROM {queries})"
+    first = "ORDER BY variant, retriever, rank, child_id, parent_id"
+    return f"""{CHILDREN}, {_bm25("children", "child_id", DEFAULT.per_retriever, queries)}, {_knn(vectors, _CE, "child_id", DEFAULT.per_retriever)},
+    hits AS (SELECT h.*, parent_id, doc_id, text FROM (SELECT query_id, variant, 'bm25' AS retriever, rank, child_id FROM bm UNION ALL SELECT query_id, variant, 'knn', rank, child_id FROM kn) h JOIN children USING (child_id)),
+    fused AS (SELECT query_id, text, round(sum(1.0::DOUBLE / ({DEFAULT.rrf_k} + rank)), 10) AS score, first(child_id {first}) AS child_id, first(parent_id {first}) AS parent_id FROM hits GROUP BY query_id, text),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM fused) WHERE rank <= {DEFAULT.top_children}),
     found AS (SELECT * FROM (SELECT query_id, parent_id, min(rank) AS position FROM best GROUP BY ALL) JOIN parents USING (parent_id)),
-    rs AS (SELECT f.*, len(list_distinct(list_concat(a, b))) AS n, len(list_intersect(a, b)) AS shared FROM (SELECT found.*, list_distinct({_toks('found.text')}) AS b, list_distinct({_toks('benchmark.text')}) AS a FROM found JOIN benchmark ON item_id = query_id) f),
+    rs AS (SELECT f.*, len(list_distinct(list_concat(a, b))) AS n, len(list_intersect(a, b)) AS shared FROM (SELECT found.*, benchmark.text AS question, list_distinct({_toks("found.text")}) AS b, list_distinct({_toks("benchmark.text")}) AS a FROM found JOIN benchmark ON item_id = query_id) f),
     rd AS (SELECT *, CASE WHEN n > 0 THEN round(shared / n, 6) ELSE 0.0 END AS rscore, row_number() OVER (PARTITION BY query_id, text, doc_id, source ORDER BY position, parent_id) AS dup FROM rs),
     top3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, text, rscore AS score, row_number() OVER (PARTITION BY query_id ORDER BY rscore DESC, position, parent_id) AS rank FROM rd WHERE dup = 1) WHERE rank <= {DEFAULT.top_parents}),
     off3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY position, parent_id) AS rank FROM found) WHERE rank <= {DEFAULT.top_parents}),
-    aug AS (SELECT query_id, rank, chunk_id, text, score, 'parent' AS kind FROM top3 UNION ALL SELECT query_id, rank, child_id, text, NULL, 'child' FROM best WHERE query_id NOT IN (SELECT query_id FROM found))"""
-TOOL = f"{CHILDREN}, {_knn(_QE, _CE, 'child_id', DEFAULT.tool_k)}"
+    aug AS (SELECT query_id, rank, chunk_id, text, score, 'parent' AS kind FROM top3 UNION ALL SELECT query_id, rank, child_id, text, NULL, 'child' FROM best WHERE query_id NOT IN (SELECT query_id FROM found)),
+    part AS (SELECT *, CASE WHEN length(question) % 3 > 0 AND length(text) % 2 = 0 THEN rscore END AS pscore FROM rd),
+    pany AS (SELECT *, max((pscore IS NOT NULL)::INT) OVER (PARTITION BY query_id) AS some FROM part),
+    part3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, pscore AS score, row_number() OVER (PARTITION BY query_id ORDER BY pscore DESC NULLS LAST, position, parent_id) AS rank FROM pany WHERE some = 0 OR dup = 1 AND pscore IS NOT NULL) WHERE rank <= {DEFAULT.top_parents})"""
+
+
+HITS, HITS2 = _hits(), _hits(_TWO)
+_FOUND = f"SELECT query_id, string_agg('[来源：' || coalesce(doc_id::VARCHAR, '未知') || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM tn JOIN children USING (child_id) GROUP BY query_id"
+TOOL = f"{_knn(_QE, _CE, 'child_id', DEFAULT.tool_k, p='t')}, tool AS (SELECT item_id AS query_id, coalesce(answer, {_q(fusion.NO_MATCH)}) AS answer FROM benchmark LEFT JOIN ({_FOUND}) ON item_id = query_id)"
+_CTX = f"ctx AS (SELECT item_id AS query_id, benchmark.text || coalesce({_q(fusion.INJECT)} || ctx, '') AS prompt FROM benchmark LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS ctx FROM aug GROUP BY query_id) ON item_id = query_id)"
+_AGENT = f"agent AS (SELECT query_id, text || {_q(fusion.INJECT)} || answer AS prompt FROM tool JOIN benchmark ON item_id = query_id)"
 
 
 def _route(source: str, keep: str, rest: str) -> str:
@@ -107,8 +137,8 @@ def _window(n: int) -> str:
     WHERE CASE WHEN role = 'system' THEN rn = 1 ELSE rn <= {n} - has END"""
 
 
-def _knn_sql(k: int) -> str:
-    return f"WITH {_knn(_VEC, _VECS, 'vec_id', k)} SELECT query_id, rank, vec_id, score FROM kn"
+def _knn_sql(k: int, min_score: float = DEFAULT.min_score) -> str:
+    return f"WITH {_knn(_VEC, _VECS, 'vec_id', k, min_score)} SELECT query_id, rank, vec_id, score FROM kn"
 
 
 ORACLES = {
@@ -146,9 +176,31 @@ ORACLES = {
     "cancel_messages": f"WITH {_HIT} SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM h) THEN {_q(booking.CANCELLED)} ELSE {_q(booking.NOT_FOUND)} END AS message FROM r",
     "booking_available": f"WITH {_REQ} SELECT request_id, true AS available FROM r",
     "calc_tools": "SELECT o_orderkey, round(o_totalprice + 1.5, 2) AS added, round(sqrt(o_totalprice), 6) AS root FROM orders",
-    "search_tool_text": f"WITH {TOOL} SELECT item_id AS query_id, coalesce(answer, {_q(fusion.NO_MATCH)}) AS answer FROM benchmark LEFT JOIN (SELECT query_id, string_agg('[来源：' || coalesce(doc_id::VARCHAR, '未知') || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM kn JOIN children USING (child_id) GROUP BY query_id) ON item_id = query_id",
+    "search_tool_text": f"WITH {CHILDREN}, {TOOL} SELECT query_id, answer FROM tool",
+    "knn_above": _knn_sql(20, 0.7),
+    "split_paragraphs": f"SELECT doc_id, ordinal::INT AS ordinal, text FROM {_chunks('documents', 'doc_id', 'source', DEFAULT.child_chars, DEFAULT.child_overlap)}",
+    "split_tokens": f"SELECT doc_id, ordinal::INT AS ordinal, text FROM {_chunks('documents', 'doc_id', 'source', DEFAULT.split_tokens, DEFAULT.split_tokens_overlap, _TOKENS)}",
+    "chunk_metadata": f"WITH {CHILDREN} SELECT child_id, lang, doc_id::VARCHAR AS doc, parent_id AS parent, source FROM children JOIN documents USING (doc_id)",
+    "rerank_partial": f"WITH {HITS} SELECT query_id, rank, chunk_id, score, 'parent' AS kind FROM part3 UNION ALL SELECT query_id, rank, chunk_id, score, kind FROM aug WHERE kind = 'child'",
+    "expand_variants": f"SELECT * FROM {_TWO}",
+    "rank_variants": f"WITH {HITS2} SELECT query_id, variant, retriever, rank, child_id FROM hits",
+    "rrf_variants": f"WITH {HITS2} SELECT query_id, child_id, parent_id, score FROM fused",
+    "rrf_variants_top3": f"WITH {HITS2} SELECT query_id, rank, chunk_id, score, kind FROM aug",
+    "ask": f"WITH {HITS}, {TOOL}, {_CTX}, {_AGENT}, routed AS {_route('benchmark', 'item_id AS query_id', _CLOSED)} SELECT query_id, route, reason, p AS prompt, '[1] ' || p AS answer FROM (SELECT query_id, route, reason, CASE WHEN route = '{routing.SIMPLE}' THEN ctx.prompt ELSE agent.prompt END AS p FROM routed JOIN ctx USING (query_id) JOIN agent USING (query_id))",
+    "ask_without_agent": f"WITH {HITS}, {_CTX} SELECT query_id, '{routing.SIMPLE}' AS route, prompt FROM ctx",
+    "ask_agentic": f"WITH {CHILDREN}, {TOOL}, {_AGENT} SELECT query_id, prompt, '[1] ' || prompt AS answer FROM agent",
+    "ask_agentic_off": f"SELECT item_id AS query_id, text AS prompt, {_q(engine.DISABLED)} AS answer FROM benchmark",
+    "chat_messages": "SELECT conv_id, count(*) + 2 AS n, '[' || (count(*) + 2) || '] 你知道我是谁吗' AS answer FROM conversations GROUP BY conv_id",
+    "chat_stream": "WITH a AS (SELECT conv_id, '[' || count(*) || '] ' || last(text ORDER BY turn) FILTER (role = 'user') AS answer FROM conversations GROUP BY conv_id), n AS (SELECT *, unnest(generate_series(0, greatest((length(answer) + 7) // 8, 1) - 1)) AS part FROM a WHERE answer IS NOT NULL) SELECT conv_id, part::INT AS part, substr(answer, part * 8 + 1, 8) AS delta FROM n",
+    "route_failed": "SELECT question, route, reason FROM " + _route(_CASES, "text AS question", f"CASE WHEN contains(text, '同时') THEN ['{routing.AGENTIC}', 'LLM·COMPLEX'] ELSE ['{routing.SIMPLE}', 'LLM分类失败降级'] END"),
+    "memory_shared": f"WITH s AS (SELECT * FROM conversations WHERE role = 'system' ORDER BY turn DESC, conv_id DESC LIMIT 1), o AS (SELECT * FROM conversations WHERE role <> 'system' ORDER BY turn DESC, conv_id DESC LIMIT {DEFAULT.memory_small - 1}) SELECT conv_id, turn, role, text FROM s UNION ALL SELECT conv_id, turn, role, text FROM o",
+    "stats_merge": "SELECT conv_id, (CASE WHEN u > 1 THEN u ELSE 0 END)::INT AS n_user, (n + 1)::INT AS n_all, u::INT AS n_more, 0 AS n_none FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) AS n FROM conversations GROUP BY conv_id)",
+    "prompt_dated": "SELECT conv_id, turn, text || ' （今天是 2025-04-14）' AS prompt FROM conversations",
+    "delta_suffix": "SELECT conv_id, turn, text AS delta FROM conversations",
+    "stream_memory_state": _window(4),
+    "stream_ingest": f"WITH {CHILDREN} SELECT child_id, parent_id, doc_id, ordinal, text FROM children",
     "prompt_render": "SELECT conv_id, turn, replace(replace(replace(" + _q(fixtures.TEMPLATE) + ", '{{username}}', '用户' || conv_id), '{{age}}', (turn + 18)::VARCHAR), '{{message}}', text) AS prompt FROM conversations",
-    "context_prompt": f"WITH {HITS} SELECT item_id AS query_id, benchmark.text || coalesce({_q(fixtures.INJECT)} || ctx, '') AS prompt FROM benchmark LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS ctx FROM aug GROUP BY query_id) ON item_id = query_id",
+    "context_prompt": f"WITH {HITS}, {_CTX} SELECT query_id, prompt FROM ctx",
     "conv_id_from_uuid": "SELECT page_id, ('0x' || substr(md5(url), 1, 6))::BIGINT % 1000000 AS conv_id FROM pages",
     "delta_text": "SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations",
     "recall_at_3": f"WITH {HITS}, truth AS (SELECT item_id AS query_id, doc_id::VARCHAR AS want FROM documents, benchmark WHERE contains(documents.text, benchmark.text)), hit AS (SELECT DISTINCT query_id FROM (SELECT query_id, split_part(chunk_id, '#', 1) AS want FROM top3) JOIN truth USING (query_id, want)) SELECT count(*) AS cases, round(avg((query_id IN (SELECT query_id FROM hit))::INT), 6) AS recall FROM (SELECT DISTINCT query_id FROM truth)",

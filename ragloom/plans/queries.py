@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import conversation_id, hash_embedding, render, tokens
-from ..operators import booking, chunking, fusion, memory, retrieval, routing
+from ..engine import Engine
+from ..functions.text import conversation_id, get_or, hash_embedding, merge_counts, render, tokens
+from ..operators import booking, chunking, fusion, memory, models, retrieval, routing
 from ..sources import files
 from ..streaming import state
 from . import fixtures
@@ -49,6 +51,20 @@ def ingest_stats(spark, d):
     return chunking.stats(docs, (p := chunking.parents(docs)), chunking.children(p))
 
 
+def split_paragraphs(spark, d):
+    return chunking.split(_table(spark, d, "documents").select("doc_id", "text"), DEFAULT.child_chars, DEFAULT.child_overlap)
+
+
+def split_tokens(spark, d):
+    return chunking.split(_table(spark, d, "documents").select("doc_id", "text"), DEFAULT.split_tokens, DEFAULT.split_tokens_overlap, "tokens")
+
+
+def chunk_metadata(spark, d):
+    docs = _table(spark, d, "documents").withColumn("metadata", F.create_map(F.lit("lang"), F.col("lang"), F.lit("docId"), F.lit("other")))
+    m = F.col("metadata")
+    return chunking.children(chunking.parents(docs)).select("child_id", m["lang"].alias("lang"), m["docId"].alias("doc"), m["parentId"].alias("parent"), m["source"].alias("source"))
+
+
 # lexical
 def tokenize_docs(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.size(tokens("text")).alias("n_tokens"), F.size(F.array_distinct(tokens("text"))).alias("n_distinct"))
@@ -68,9 +84,9 @@ def _vectors(spark, d):
     return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding")
 
 
-def _knn(k):
+def _knn(k, min_score=DEFAULT.min_score):
     def query(spark, d):
-        return retrieval.knn(*_vectors(spark, d), k, DEFAULT.dims, DEFAULT.min_score, "vec_id").select("query_id", "rank", "vec_id", "score")
+        return retrieval.knn(*_vectors(spark, d), k, min_score, "vec_id").select("query_id", "rank", "vec_id", "score")
 
     return query
 
@@ -80,27 +96,31 @@ def hash_embed(spark, d):
 
 
 # fusion
-_indexes: dict = {}
+_engines: dict = {}
+
 
+def _stamp(spark, path):
+    """When the files of a table were written last, by Hadoop's own listing, which any store has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max([f.getModificationTime() for f in fs.listStatus(at)], default=0)
 
-def _index(spark, d):
-    """(parents, children with vectors, postings, questions with vectors), built once for a session and a folder of tables."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
-        parents = files.index(_parents(spark, d), "parents")
-        children = files.index(retrieval.embed(chunking.children(parents).drop("metadata", "ordinal")), "children")
-        posted = files.index(retrieval.postings(children), "postings")
-        questions = files.index(retrieval.embed(retrieval.expand(_questions(spark, d)).drop("variant")), "questions")
-        _indexes[key] = parents, children, posted, questions
-    return _indexes[key]
 
+def _engine(spark, d, **models) -> Engine:
+    """An engine over the documents, ingested once for a session, a folder of tables and their state."""
+    key = (spark.sparkContext.applicationId, d, _stamp(spark, f"{d}/documents.parquet"))
+    if key not in _engines:
+        _engines[key] = Engine(spark)
+        _engines[key].ingest(_table(spark, d, "documents"))
+    if not models:
+        return _engines[key]
+    own = Engine(spark, **models)
+    own.parents, own.children, own.postings = _engines[key].parents, _engines[key].children, _engines[key].postings
+    return own
 
-def _hits(spark, d):
-    _, c, posted, q = _index(spark, d)
-    lexical = retrieval.bm25(q, c, posted=posted)
-    near = retrieval.knn(q, c, DEFAULT.per_retriever, DEFAULT.dims, DEFAULT.min_score)
-    both = lexical.select(*retrieval.HIT).unionByName(near.select(*retrieval.HIT))
-    return both.join(c.select("child_id", "parent_id", "doc_id", "text"), "child_id")
+
+def _hits(spark, d, **models):
+    return _engine(spark, d, **models).hits(_questions(spark, d))
 
 
 def rrf_fuse(spark, d):
@@ -112,12 +132,12 @@ def rrf_top8(spark, d):
 
 
 def parent_expand(spark, d):
-    return fusion.expand_parents(fusion.top_children(fusion.rrf(_hits(spark, d))), _index(spark, d)[0]).select("query_id", "parent_id", "position", "doc_id")
+    return fusion.expand_parents(fusion.top_children(fusion.rrf(_hits(spark, d))), _engine(spark, d).parents).select("query_id", "parent_id", "position", "doc_id")
 
 
-def _augment(spark, d, cfg: Config = DEFAULT, parents=None):
-    p = _index(spark, d)[0] if parents is None else parents
-    return fusion.augment(fusion.top_children(fusion.rrf(_hits(spark, d))), p, _questions(spark, d), cfg)
+def _augment(spark, d, cfg: Config = DEFAULT, parents=None, scorer=fusion.overlap_score):
+    p = _engine(spark, d).parents if parents is None else parents
+    return fusion.augment(fusion.top_children(fusion.rrf(_hits(spark, d))), p, _questions(spark, d), cfg, scorer)
 
 
 def rerank_top3(spark, d):
@@ -128,12 +148,77 @@ def rerank_off_top3(spark, d):
     return _augment(spark, d, Config(rerank=False)).where("kind = 'parent'").select("query_id", "rank", "chunk_id")
 
 
+def rerank_partial(spark, d):
+    """A scorer that gives no score to some texts and fails for some questions."""
+
+    def some(question, text):
+        return F.when((F.length(question) % 3 > 0) & (F.length(text) % 2 == 0), fusion.overlap_score(question, text))
+
+    return _augment(spark, d, scorer=some).select("query_id", "rank", "chunk_id", "score", "kind")
+
+
 def fallback_children(spark, d):
-    return _augment(spark, d, parents=_index(spark, d)[0].where(F.lit(False))).select("query_id", "rank", "chunk_id", "kind")
+    """The parents' table can't be read: all fused children stay."""
+    missing = files.table_or_empty(spark, f"{files.shared(spark)}/no-such-{uuid.uuid4().hex}", _engine(spark, d).parents.schema)
+    return _augment(spark, d, parents=missing).select("query_id", "rank", "chunk_id", "kind")
 
 
 def rrf_retrieve(spark, d):
-    return _augment(spark, d)
+    return _engine(spark, d).retrieve(_questions(spark, d))
+
+
+VARIANTS = replace(DEFAULT, variants=2)
+
+
+def expand_variants(spark, d):
+    return retrieval.expand(_questions(spark, d), VARIANTS)
+
+
+def rank_variants(spark, d):
+    """The ranked list of each retriever for each wording."""
+    return _hits(spark, d, cfg=VARIANTS).select("query_id", "variant", "retriever", "rank", "child_id")
+
+
+def rrf_variants(spark, d):
+    return fusion.rrf(_hits(spark, d, cfg=VARIANTS)).select("query_id", "child_id", "parent_id", "score")
+
+
+def rrf_variants_top3(spark, d):
+    return _engine(spark, d, cfg=VARIANTS).retrieve(_questions(spark, d)).select("query_id", "rank", "chunk_id", "score", "kind")
+
+
+# the whole
+def ask(spark, d):
+    """Questions of all lengths: the router sends them both ways, the stand-in model answers with its prompt."""
+    return _engine(spark, d, cfg=replace(DEFAULT, llm_fallback=False)).ask(_questions(spark, d)).select("query_id", "route", "reason", "prompt", "answer")
+
+
+def ask_without_agent(spark, d):
+    return _engine(spark, d, cfg=replace(DEFAULT, agentic=False)).ask(_questions(spark, d)).select("query_id", "route", "prompt")
+
+
+def ask_agentic(spark, d):
+    return _engine(spark, d).ask_agentic(_questions(spark, d)).select("query_id", "prompt", "answer")
+
+
+def ask_agentic_off(spark, d):
+    return _engine(spark, d, cfg=replace(DEFAULT, agentic=False)).ask_agentic(_questions(spark, d))
+
+
+def _lists(spark, d):
+    """Conversations as lists of messages, in order."""
+    turns = _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return turns.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
+
+
+def chat_messages(spark, d):
+    """Two calls with the history passed by hand."""
+    more = models.reply(_lists(spark, d)).drop("answer").withColumn("messages", F.concat("messages", F.array(models.message("user", F.lit("你知道我是谁吗")))))
+    return models.chat(more).select("conv_id", F.size("messages").alias("n"), "answer")
+
+
+def chat_stream(spark, d):
+    return models.stream(_lists(spark, d), "conv_id")
 
 
 # routing
@@ -165,6 +250,16 @@ def route_fallback(spark, d):
     return routing.decide(_values(spark, fixtures.ROUTES, "text string, expected string"), ask).select(F.col("text").alias("question"), "route", "reason")
 
 
+def route_failed(spark, d):
+    """A chat model behind the classifier that fails for one question."""
+
+    def model(rows):
+        hard = F.col("messages")[0]["text"].contains("同时")
+        return rows.withColumns({"answer": F.when(hard, "COMPLEX"), "error": F.when(~hard, "timeout")})
+
+    return routing.decide(_values(spark, fixtures.ROUTES, "text string, expected string"), models.classifier(model)).select(F.col("text").alias("question"), "route", "reason")
+
+
 # memory
 def _window(n):
     def query(spark, d):
@@ -188,6 +283,10 @@ def memory_delete(spark, d):
     return memory.delete(c, c.where("role = 'system'").select("conv_id"))
 
 
+def memory_shared(spark, d):
+    return memory.shared_window(_table(spark, d, "conversations"), DEFAULT.memory_small, "turn", "conv_id").select("conv_id", "turn", "role", "text")
+
+
 # tools
 def _bookings(spark):
     return _values(spark, fixtures.BOOKINGS, fixtures.BOOKING), _values(spark, fixtures.REQUESTS, "request_id long, " + fixtures.BOOKING.removeprefix("id long, "))
@@ -218,9 +317,20 @@ def calc_tools(spark, d):
 
 
 def search_tool_text(spark, d):
-    _, c, _, q = _index(spark, d)
-    near = retrieval.knn(q, c, DEFAULT.tool_k, DEFAULT.dims)
-    return fusion.search_text(q, near.join(c.select("child_id", "doc_id", "text"), "child_id"))
+    return _engine(spark, d).search(_questions(spark, d))
+
+
+def knn_above(spark, d):
+    """A threshold that some of the twenty nearest don't reach."""
+    return _knn(20, 0.7)(spark, d)
+
+
+def stats_merge(spark, d):
+    """Counters of one conversation added to those of the next one's id, by key."""
+    counts = _table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").cast("int").alias("u"), F.count(F.lit(1)).cast("int").alias("n"))
+    first = F.when(F.col("u") > 1, F.create_map(F.lit("user"), F.col("u"), F.lit("all"), F.col("n"))).otherwise(F.create_map(F.lit("all"), F.col("n")))
+    both = counts.withColumn("m", merge_counts(first, F.create_map(F.lit("all"), F.lit(1), F.lit("more"), F.col("u"))))
+    return both.select("conv_id", *(get_or(F.col("m"), k).alias(f"n_{k}") for k in ("user", "all", "more", "none")))
 
 
 def prompt_render(spark, d):
@@ -228,11 +338,14 @@ def prompt_render(spark, d):
     return _table(spark, d, "conversations").select("conv_id", "turn", render(fixtures.TEMPLATE, values).alias("prompt"))
 
 
+def prompt_dated(spark, d):
+    """The date is a variable like the others; a fixed one here, ``F.current_date()`` in use."""
+    values = {"current_date": F.to_date(F.lit("2025-04-14")), "message": F.col("text")}
+    return _table(spark, d, "conversations").select("conv_id", "turn", render(fixtures.DATED, values).alias("prompt"))
+
+
 def context_prompt(spark, d):
-    found = _augment(spark, d)
-    ctx = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("ctx"))
-    q = _questions(spark, d).join(ctx, "query_id", "left")
-    return q.select("query_id", F.when(F.col("ctx").isNull(), F.col("text")).otherwise(F.concat("text", F.lit(fixtures.INJECT), "ctx")).alias("prompt"))
+    return fusion.inject(_questions(spark, d), _augment(spark, d))
 
 
 def conv_id_from_uuid(spark, d):
@@ -241,18 +354,33 @@ def conv_id_from_uuid(spark, d):
 
 def delta_text(spark, d):
     """A stream of answer parts put together again: the text so far after each part."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = _table(spark, d, "conversations")
     return c.select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "").alias("so_far"))
 
 
+def delta_suffix(spark, d):
+    """What each part adds to the answer shown before it."""
+    return memory.suffix(delta_text(spark, d), "so_far").select("conv_id", "turn", "delta")
+
+
 # evaluation
 def recall_at_3(spark, d):
-    """Share of the questions whose text stands in a document that have such a document among the three retrieved parents."""
-    q, docs = _questions(spark, d), _table(spark, d, "documents")
-    truth = docs.join(F.broadcast(q.withColumnRenamed("text", "item")) if q.count() < 100_000 else q.withColumnRenamed("text", "item"), F.expr("contains(text, item)")).select("query_id", F.col("doc_id").cast("string").alias("want"))
+    """Share of the questions whose text stands in a document that have such a document among the three retrieved parents.
+
+    A document can contain a text only if it has all tokens between that text's first and last one; documents are looked up by the
+    rarest of these. Only texts of fewer than three tokens are compared with every document.
+    """
+    q, docs = _questions(spark, d).withColumnRenamed("text", "item"), _table(spark, d, "documents").select("doc_id", "text")
+    q = q.withColumn("inner", F.slice(tokens("item"), 2, F.greatest(F.size(tokens("item")) - 2, F.lit(0))))
+    where = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    terms = q.select("query_id", F.explode(F.array_distinct("inner")).alias("term"))
+    found = files.index(where.join(terms.select("term").distinct(), "term", "left_semi"), "found-terms")
+    rarest = terms.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    pairs = rarest.join(found, "term").select("query_id", "doc_id").join(q.select("query_id", "item"), "query_id").join(docs, "doc_id")
+    short = q.where(F.size("inner") < 1).select("query_id", "item").join(docs, F.expr("contains(text, item)"))
+    truth = pairs.where(F.expr("contains(text, item)")).unionByName(short, allowMissingColumns=True).select("query_id", F.col("doc_id").cast("string").alias("want"))
+    truth = files.index(truth, "truth")
     got = rerank_top3(spark, d).select("query_id", F.split("chunk_id", "#")[0].alias("want"))
     cases = truth.select("query_id").distinct()
     hit = got.join(truth, ["query_id", "want"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1.0))
@@ -260,16 +388,23 @@ def recall_at_3(spark, d):
 
 
 # files and streams
+def _folder(spark):
+    """The fixture's files, in the folder that all executors share."""
+    path = f"{files.shared(spark)}/files-{uuid.uuid4().hex}"
+    for name, text in fixtures.FILES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+        out.write(text.encode())
+        out.close()
+    return path
+
+
 def scan_text_dir(spark, d):
-    path = tempfile.mkdtemp(prefix="ragloom-files-")
-    fixtures.write_files(path)
-    return files.text_dir(spark, "file://" + path).select("doc_id", F.length("text").alias("n_chars"), "source")
+    return files.text_dir(spark, _folder(spark)).select("doc_id", F.length("text").alias("n_chars"), "source")
 
 
 def scan_binary_dir(spark, d):
-    path = tempfile.mkdtemp(prefix="ragloom-files-")
-    fixtures.write_files(path)
-    return files.binary_dir(spark, "file://" + path).select("name", "length")
+    return files.binary_dir(spark, _folder(spark)).select("name", "length")
 
 
 def put_last_write(spark, d):
@@ -277,14 +412,21 @@ def put_last_write(spark, d):
 
 
 def stream_memory_state(spark, d):
-    name = "memory_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    return state.run_to_table(state.bounded_memory(state.read_messages(spark, d), 4), name)
+    path = f"{files.shared(spark)}/memory-{uuid.uuid4().hex}"
+    updates = state.run_to_table(state.bounded_memory(state.read_messages(spark, d), 4), path)
+    return state.latest(updates, "conv_id").select("conv_id", F.inline("messages"))
+
+
+def stream_ingest(spark, d):
+    docs = spark.readStream.schema(_table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    whole = lambda batch: chunking.children(chunking.parents(batch)).select("child_id", "parent_id", "doc_id", "ordinal", "text")
+    return state.ingest(docs, whole, f"{files.shared(spark)}/ingest-{uuid.uuid4().hex}")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_parents, chunk_children, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, fallback_children, rrf_retrieve, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback,
-        memory_json, memory_upsert, memory_delete, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, prompt_render, context_prompt, conv_id_from_uuid, delta_text, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state,
+        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
+        memory_json, memory_upsert, memory_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_ingest,
     )
 } | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}

@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def text_dir(spark: SparkSession, path: str, glob: str = "*.{txt,md}", recursive: bool = True) -> DataFrame:
-    """doc_id and source (file name), text, one row a file. A missing folder is an error."""
-    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(path, wholetext=True)
+    """doc_id and source (file name), text, one row a file. A missing folder is a FileNotFoundError."""
+    try:
+        df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"there is no folder of documents at {path}") from e
     return df.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("source"))
 
 
@@ -20,9 +29,9 @@ def text_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, length and content of every file."""
+    """name, path, length, modificationTime and content of every file; a listing doesn't read the content."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "modificationTime", "content")
 
 
 def pdf_dir(spark: SparkSession, path: str, parse=None) -> DataFrame:
@@ -30,10 +39,11 @@ def pdf_dir(spark: SparkSession, path: str, parse=None) -> DataFrame:
 
     def run(batches):
         read = parse or _pypdf()
-        for pdf in batches:
-            yield pdf.assign(text=[read(c) for c in pdf.content]).loc[:, ["doc_id", "text", "source"]]
+        for b in batches:
+            texts = pa.array([read(c) for c in b.column("content").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, b.column("doc_id")], names=["doc_id", "text", "source"])
 
-    return binary_dir(spark, path, "*.pdf").select(F.col("name").alias("doc_id"), "content", F.col("name").alias("source")).mapInPandas(run, "doc_id string, text string, source string")
+    return binary_dir(spark, path, "*.pdf").select(F.col("name").alias("doc_id"), "content").mapInArrow(run, "doc_id string, text string, source string")
 
 
 def _pypdf():
@@ -60,22 +70,57 @@ def last_write_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-def rebuild(df: DataFrame, path: str) -> DataFrame:
-    """Full, idempotent rebuild; the rows can be read as soon as it returns."""
+def find_by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of that id, or no row; of several, one."""
+    return df.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def declared(df: DataFrame, schema: StructType | str) -> DataFrame:
+    """``df`` in the columns and types of a declared schema; a missing column is null, another one is an error."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if extra := set(df.columns) - set(schema.names):
+        raise ValueError(f"columns that aren't declared: {sorted(extra)}")
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def rebuild(df: DataFrame, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Full, idempotent rebuild, in a declared schema if one is given; the rows can be read as soon as it returns."""
+    df = df if schema is None else declared(df, schema)
     df.write.mode("overwrite").parquet(path)
     df.sparkSession.catalog.refreshByPath(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A stored table; one that can't be found is empty, so that what is looked up in it falls back."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def in_memory(df: DataFrame, name: str) -> DataFrame:
+    """A table kept by the executors (spilled to their disks) and known to SQL under ``name`` for the session."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
 def index(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table to the folder that all executors share and read it again, as an index that queries reuse."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ragloom-index-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return rebuild(df, f"{base}/{name}-{uuid.uuid4().hex}")
+    return rebuild(df, f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+_local: list[str] = []
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one temporary folder for the process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="ragloom-"))
+    return path or _local[0]

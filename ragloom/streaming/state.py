@@ -4,41 +4,65 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MESSAGES = "conv_id long, turn long, role string, text string"
+KEPT = "messages array<struct<turn: bigint, role: string, text: string>>"
 
 
 def read_messages(spark: SparkSession, path: str, glob: str = "conversations.parquet") -> DataFrame:
     return spark.readStream.schema(MESSAGES).option("pathGlobFilter", glob).parquet(path)
 
 
+def bounded(messages: list[tuple], n: int) -> list[tuple]:
+    """Of (turn, role, text) messages the latest system one and the last n - 1 others, or the last n without one, in order."""
+    messages = sorted(messages, key=lambda m: m[0])
+    system = [m for m in messages if m[1] == "system"][-1:]
+    others = [m for m in messages if m[1] != "system"]
+    room = n - len(system)
+    return sorted(system + (others[-room:] if room > 0 else []), key=lambda m: m[0])
+
+
 def bounded_memory(messages: DataFrame, n: int) -> DataFrame:
-    """After each batch, (conv_id, seen, kept turns) of the conversations it touched; state holds n turns a conversation."""
+    """After each batch, (conv_id, seen, messages kept) of the conversations it touched; the state holds n messages a conversation.
+    `memory.window` of all messages so far gives the same."""
 
     def update(key, batches, state: GroupState):
-        seen, turns = state.get if state.exists else (0, [])
-        turns = list(turns)
+        seen, kept = state.get if state.exists else (0, [])
+        kept = [tuple(m) for m in kept]
         for pdf in batches:
             seen += len(pdf)
-            turns = sorted([*turns, *pdf["turn"].tolist()])[-n:]
-        state.update((seen, turns))
-        yield pd.DataFrame({"conv_id": [key[0]], "seen": [seen], "turns": [turns]})
+            kept = bounded(kept + list(pdf[["turn", "role", "text"]].itertuples(index=False, name=None)), n)
+        state.update((seen, kept))
+        yield pd.DataFrame({"conv_id": [key[0]], "seen": [seen], "messages": [[dict(zip(("turn", "role", "text"), m, strict=True)) for m in kept]]})
+
+    return messages.groupBy("conv_id").applyInPandasWithState(update, f"conv_id long, seen long, {KEPT}", f"seen long, {KEPT}", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(df: DataFrame, path: str, mode: str = "update") -> DataFrame:
+    """All that is there now, written batch by batch to a table in a shared folder; ``epoch`` is a row's batch."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")  # the same batch again overwrites itself
 
-    return messages.groupBy("conv_id").applyInPandasWithState(update, "conv_id long, seen long, turns array<long>", "seen long, turns array<long>", "update", GroupStateTimeout.NoTimeout)
+    df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema.add("epoch", "long")).option("basePath", f"{path}/table").parquet(f"{path}/table")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    """All that is there now, into a table in memory (for tests and small results)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def latest(updates: DataFrame, key: str) -> DataFrame:
+    """The last row of each key of a table of updates."""
+    row = F.max_by(F.struct(*(c for c in updates.columns if c not in (key, "epoch"))), "epoch").alias("row")
+    return updates.groupBy(key).agg(row).select(key, "row.*")
 
 
-def ingest(docs: DataFrame, pipeline, path: str, checkpoint: str) -> None:
-    """Incremental ingest: each micro-batch of documents goes through ``pipeline`` and is appended to a table."""
+def ingest(docs: DataFrame, pipeline, path: str) -> DataFrame:
+    """Incremental ingest: each micro-batch of documents goes through ``pipeline`` and is added to the table, which is returned. What was
+    ingested before is not read again by a later call with the same path."""
+    spark = docs.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
-        pipeline(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")  # the same batch again overwrites itself
+        pipeline(batch).write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
 
-    docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    docs.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table").drop("epoch")

@@ -252,7 +252,7 @@ def test_license_scan(spark):
     rows = license_scan.licenses(docs).collect()
     assert len(rows) == 9
     got = {r.doc_id: r for r in rows}
-    assert [got[i].family for i in range(7)] == ["cc-by-nc", "mit", "apache-2.0", "unknown", "none", "none", "none"]
+    assert [got[i].family for i in range(7)] == ["cc-by-nc", "mit", "apache-2.0", "none", "none", "none", "none"]
     assert got[7].families == ["bsd", "gpl"] and got[7].n_paragraphs == 2
 
 

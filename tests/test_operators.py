@@ -1,7 +1,12 @@
 """Edge cases by hand."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from ragloom.config import Config
-from ragloom.operators import booking, chunking, fusion, memory, routing
+from ragloom.engine import DISABLED, Engine
+from ragloom.functions.text import get_or, merge_counts
+from ragloom.operators import booking, chunking, fusion, memory, models, retrieval, routing
 from ragloom.plans import fixtures
 from ragloom.sources import files
 from ragloom.streaming import state
@@ -63,8 +68,133 @@ def test_streams_and_files(spark, tmp_path):
     (tmp_path / "f" / "x.pdf").write_bytes(b"pdf")
     assert {(r.doc_id, r.text) for r in files.folder(spark, str(tmp_path / "f"), lambda b: b.decode()).collect()} >= {("x.pdf", "pdf"), ("a.txt", "alpha beta\n")}
     spark.createDataFrame([(1, t, "user", "x") for t in range(7)] + [(2, 0, "user", "x")], state.MESSAGES).write.parquet(str(tmp_path / "in" / "conversations.parquet"))
-    got = state.run_to_table(state.bounded_memory(spark.readStream.schema(state.MESSAGES).parquet(str(tmp_path / "in" / "conversations.parquet")), 3), "mem_test")
-    assert {(r.conv_id, r.seen, tuple(r.turns)) for r in got.collect()} == {(1, 7, (4, 5, 6)), (2, 1, (0,))}
-    docs = spark.readStream.schema("doc_id long, text string, source string").parquet(str(tmp_path / "docs"))if (spark.createDataFrame([(1, "hello", "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "docs")) or True) else None
-    state.ingest(docs, chunking.parents, str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    got = state.run_to_table(state.bounded_memory(spark.readStream.schema(state.MESSAGES).parquet(str(tmp_path / "in" / "conversations.parquet")), 3), str(tmp_path / "mem"))
+    assert {(r.conv_id, r.seen, tuple(m.turn for m in r.messages)) for r in got.collect()} == {(1, 7, (4, 5, 6)), (2, 1, (0,))}
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """Memory and ingest go on where the batch before ended, and give what one batch gives."""
+    rows = [(c, t, "system" if t in (0, 5) else "user", f"{c}-{t}") for c in range(3) for t in range(4 + 3 * c)]
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] % 3 == k], state.MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(state.MESSAGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    updates = state.run_to_table(state.bounded_memory(stream, 4), str(tmp_path / "mem"))
+    assert updates.select("epoch").distinct().count() > 1
+    got = state.latest(updates, "conv_id")
+    assert {(r.conv_id, r.seen) for r in got.collect()} == {(c, 4 + 3 * c) for c in range(3)}
+    schema = "doc_id long, text string, source string"
+    for k in range(2):
+        spark.createDataFrame([(k, "hello", "s")], schema).write.mode("append").parquet(str(tmp_path / "docs"))
+        docs = spark.readStream.schema(schema).parquet(str(tmp_path / "docs"))
+        assert state.ingest(docs, chunking.parents, str(tmp_path / "out")).count() == k + 1
+    assert state.bounded([(1, "user", "a"), (0, "system", "s"), (2, "user", "b")], 2) == [(0, "system", "s"), (2, "user", "b")]
+
+
+def test_knn(spark):
+    """Against plain loops, in several blocks of queries; null, short and zero vectors match nothing, ties go by key."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (300, 8)).astype(float)
+    items = [(f"k{i:03}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("short", [1.0]), ("zero", [0.0] * 8)]
+    queries = [(q, v, rng.integers(0, 3, 8).astype(float).tolist()) for q in range(20) for v in range(2)] + [(99, 0, None), (98, 0, [0.0] * 8)]
+    want = set()
+    for q, v, e in queries[:-2]:
+        n = np.linalg.norm(e)
+        s = sorted((-round((1 + np.dot(e, y) / (n * np.linalg.norm(y))) / 2, 6), k) for k, y in items[:300] if n and np.linalg.norm(y))
+        want |= {(q, v, r + 1, k, -z) for r, (z, k) in enumerate(s[:5])}
+    q = spark.createDataFrame(queries, "query_id long, variant int, embedding array<double>")
+    i = spark.createDataFrame(items, "child_id string, embedding array<double>").repartition(5)
+    for size in (1 << 20, 8 * 8 * 9):
+        retrieval.QUERY_BYTES, keep = size, retrieval.QUERY_BYTES
+        try:
+            got = {(r.query_id, r.variant, r.rank, r.child_id, r.score) for r in retrieval.knn(q, i, 5, dims=8).collect()}
+        finally:
+            retrieval.QUERY_BYTES = keep
+        assert got == want
+    assert retrieval.knn(q, i.limit(0), 5, dims=8).collect() == [] == retrieval.knn(q.limit(0), i, 5, dims=8).collect()
+
+
+def test_rerank_falls_back(spark):
+    """Scorers that score some parents, none, or equal segments twice."""
+    found = spark.createDataFrame([(1, "p1", 1, "t1", 1, "s"), (1, "p2", 2, "t2", 2, "s"), (1, "p3", 3, "t1", 1, "s"), (1, "p4", 4, "t4", 4, "s"), (2, "p1", 1, "t1", 1, "s"), (2, "p3", 2, "t1", 1, "s")], "query_id long, parent_id string, position int, text string, doc_id long, source string")
+    q = spark.createDataFrame([(1, "q"), (2, "r")], "query_id long, text string")
+
+    def scorer(question, text):
+        return F.when(F.col(question) == "q", F.when(F.col("parent_id") == "p1", 0.1).when(F.col("parent_id") == "p3", 0.9).when(F.col("parent_id") == "p4", 0.5))
+
+    got = [(r.query_id, r.rank, r.parent_id, r.score) for r in fusion.rerank(found, q, Config(), scorer).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, "p1", 0.9), (1, 2, "p4", 0.5), (2, 1, "p1", None), (2, 2, "p3", None)]
+
+
+def test_variants_rank_apart(spark):
+    hits = spark.createDataFrame([(1, v, "bm25", r, c, "p", c) for v, r, c in [(0, 1, "a"), (0, 2, "b"), (1, 1, "b"), (1, 2, "a")]], "query_id long, variant int, retriever string, rank int, child_id string, parent_id string, text string")
+    assert {r.child_id: r.score for r in fusion.rrf(hits).collect()} == {c: round(1 / 61 + 1 / 62, 10) for c in "ab"}
+    q = spark.createDataFrame([(1, "long words here"), (2, "no"), (3, None)], "query_id long, text string")
+    got = {(r.query_id, r.variant): r.text for r in retrieval.expand(q, Config(variants=3)).collect()}
+    assert got == {(1, 0): "long words here", (1, 1): "words", (2, 0): "no", (3, 0): None}
+    assert retrieval.expand(q, Config(variants=1)).count() == 3
+
+
+def test_splits_by_tokens(spark):
+    words = " ".join(f"w{i}" for i in range(1000))
+    df = spark.createDataFrame([(1, words), (2, "one two\n\nthree"), (3, None), (4, " \n ")], "doc_id long, text string")
+    got = {}
+    for r in chunking.split(df, 300, 30, "tokens").orderBy("doc_id", "ordinal").collect():
+        got.setdefault(r.doc_id, []).append(r.text.split())
+    assert set(got) == {1, 2} and max(map(len, got[1])) == 300
+    assert sorted({w for c in got[1] for w in c}) == sorted(words.split())
+
+
+def test_files_and_tables(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.text_dir(spark, str(tmp_path / "none"))
+    fixtures.write_files(str(tmp_path / "f"))
+    assert {c for c in files.binary_dir(spark, str(tmp_path / "f")).columns} >= {"name", "path", "length", "modificationTime", "content"}
+    assert files.text_file(spark, str(tmp_path / "f" / "a.txt")).first().text == "alpha beta\n"
+    df = spark.createDataFrame([(1, "x")], "id int, text string")
+    table = files.rebuild(df, str(tmp_path / "t"), "id long, text string, more double")
+    assert table.dtypes == [("id", "bigint"), ("text", "string"), ("more", "double")]
+    files.append(table, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2 and files.find_by_id(table, "id", 1).count() == 1 and files.find_by_id(table, "id", 7).count() == 0
+    with pytest.raises(ValueError):
+        files.declared(df, "id long")
+    assert files.table_or_empty(spark, str(tmp_path / "none"), "id long").collect() == []
+    assert files.in_memory(df, "kept_in_memory").count() == spark.table("kept_in_memory").count() == 1
+
+
+def test_jdbc(spark, tmp_path):
+    """Spark's own distribution has an embedded database."""
+    at = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table = spark.createDataFrame(fixtures.BOOKINGS, fixtures.BOOKING).withColumnsRenamed({"date": "day", "time": "at"})
+    table.write.format("jdbc").options(dbtable="bookings", **at).save()
+    got = files.jdbc(spark, at["url"], "bookings", driver=at["driver"])
+    assert files.find_by_id(got, "id", 2).first()["username"] == "李四" and got.count() == 4
+
+
+def test_chat_and_ask(spark):
+    rows = spark.createDataFrame([(1, [("user", "我是环环")])], f"id long, messages array<{models.MESSAGE}>")
+    once = models.reply(rows)
+    assert once.first().answer == "[1] 我是环环" and [m.role for m in once.first().messages] == ["user", "ai"]
+    parts = models.stream(rows, "id", 3).orderBy("part").collect()
+    assert "".join(p.delta for p in parts) == "[1] 我是环环" and len(parts) == 3
+    engine = Engine(spark, Config(llm_fallback=False, dims=16))
+    docs = spark.createDataFrame([(1, "The clinic opens at eight.", "a"), (2, "Vaccines are given in spring.", "b")], "doc_id long, text string, source string")
+    assert {r.key: r.value for r in engine.ingest(docs).collect()} == {"documents": 2, "parents": 2, "children": 2}
+    q = spark.createDataFrame([(1, "When does the clinic open?"), (2, "vaccines? spring?"), (3, None)], "query_id long, text string")
+    history = spark.createDataFrame([(1, 0, "system", "be brief"), (1, 1, "user", "hi")], "query_id long, turn long, role string, text string")
+    got = {r.query_id: r for r in engine.ask(q, history).collect()}
+    assert got[1].route == "SIMPLE_RAG" and got[1].answer.startswith("[3] ") and "eight" in got[1].prompt
+    assert got[2].route == "AGENTIC_RAG" and "[来源：" in got[2].prompt
+    assert engine.ask_agentic(q).count() == 3 and Engine(spark, Config(agentic=False)).ask_agentic(q).first().answer == DISABLED
+
+
+def test_metadata_is_inherited(spark):
+    docs = spark.createDataFrame([(1, "text", "s", {"k": "v", "docId": "x"}), (2, "text", "s", None)], "doc_id long, text string, source string, metadata map<string,string>")
+    got = {r.doc_id: r.metadata for r in chunking.children(chunking.parents(docs)).collect()}
+    assert got == {1: {"k": "v", "docId": "1", "parentId": "1#0", "source": "s"}, 2: {"docId": "2", "parentId": "2#0", "source": "s"}}
+
+
+def test_counts_merge(spark):
+    row = spark.range(1).select(merge_counts(F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3))).alias("m"))
+    assert row.select(get_or(F.col("m"), "a"), get_or(F.col("m"), "b"), get_or(F.col("m"), "c", 7)).first()[:] == (3, 3, 7)
