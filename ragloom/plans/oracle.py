@@ -101,8 +101,8 @@ def _hits(queries: str = _ONE) -> str:
     off3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY position, parent_id) AS rank FROM found) WHERE rank <= {DEFAULT.top_parents}),
     aug AS (SELECT query_id, rank, chunk_id, text, score, 'parent' AS kind FROM top3 UNION ALL SELECT query_id, rank, child_id, text, NULL, 'child' FROM best WHERE query_id NOT IN (SELECT query_id FROM found)),
     part AS (SELECT *, CASE WHEN length(question) % 3 > 0 AND length(text) % 2 = 0 THEN rscore END AS pscore FROM rd),
-    pany AS (SELECT *, max((pscore IS NOT NULL)::INT) OVER (PARTITION BY query_id) AS some FROM part),
-    part3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, pscore AS score, row_number() OVER (PARTITION BY query_id ORDER BY pscore DESC NULLS LAST, position, parent_id) AS rank FROM pany WHERE some = 0 OR dup = 1 AND pscore IS NOT NULL) WHERE rank <= {DEFAULT.top_parents})"""
+    pany AS (SELECT *, max((pscore IS NOT NULL)::INT) OVER (PARTITION BY query_id) AS scored FROM part),
+    part3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, pscore AS score, row_number() OVER (PARTITION BY query_id ORDER BY pscore DESC NULLS LAST, position, parent_id) AS rank FROM pany WHERE scored = 0 OR dup = 1 AND pscore IS NOT NULL) WHERE rank <= {DEFAULT.top_parents})"""
 
 
 HITS, HITS2 = _hits(), _hits(_TWO)
