@@ -183,7 +183,7 @@ def triggers() -> list[str]:
         return (len(kept) / len(set(words)) + sum(set(p) <= kept for p in pairs) / max(1, len(pairs))) / 2 >= AGREES
 
     while left := [t for t in left if enough(t[2])]:
-        need = Counter(w for _, _, ws in left for w in set(ws))
+        need = Counter(w for _, _, ws in left for w in set(ws) - set(chosen))
         chosen.append(min(need, key=lambda w: (w in FREQUENT or len(w) < 3, -need[w], w)))
     return chosen
 
