@@ -28,6 +28,8 @@ from .common import documents
 UNKNOWN = "unknown"
 #: How notices name a licence, and the names, identifiers, headings and sentences of each family.
 FRAMES = ["licensed under {}", "released under {}", "distributed under {}", "available under {}", "licensed under the terms of {}", "under the terms and conditions of {}", "subject to the terms of {}", "governed by {}", "License: {}"]
+#: Frames that only label a name.
+LABELS = ["License: {}"]
 NAMES = {
     "mit": ["the MIT License", "the MIT"],
     "apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 license"],
@@ -162,10 +164,11 @@ def grams_of(words: list[str], upto: int = 3) -> list[str]:
 
 
 def templates() -> list[tuple[str, str, tuple[str, ...]]]:
-    """(family, kind, words): notices, headings (which must be most of their line) and sentences."""
+    """(family, kind, words): notices, headings (which must be most of their line) and sentences. A frame without a verb is a
+    heading: prose that compares two licences has all its words too."""
     out = []
     for family, names in NAMES.items():
-        out += [(family, "notice", f.format(n)) for f in FRAMES for n in names]
+        out += [(family, "heading" if f in LABELS else "notice", f.format(n)) for f in FRAMES for n in names]
     out += [(family, "notice", f"SPDX-License-Identifier: {x}") for family, ids in SPDX.items() for x in ids]
     out += [(family, "heading", t) for family, ts in HEADINGS.items() for t in ts]
     out += [(family, "sentence", t) for family, ts in SENTENCES.items() for t in ts]
