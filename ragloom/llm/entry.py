@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, golden_records, jaccard_join, language_id, license_scan, packing, piece_codec, prefix_trie, quality_rules, substring_dedup, token_counts
+from . import exact_dedup, fingerprints, golden_records, jaccard_join, language_id, license_scan, packing, piece_codec, prefix_trie, quality_rules, substring_dedup, token_counts, vector_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_vector_dedup": vector_dedup.op12_vector_dedup,
     "op13_golden_records": golden_records.op13_golden_records,
 }
-ORACLES = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op13_golden_records": golden_records.OP13_SQL}
+ORACLES = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op12_vector_dedup": vector_dedup.OP12_SQL, "op13_golden_records": golden_records.OP13_SQL}
