@@ -8,8 +8,8 @@ path's words, edges, document, position). Joins then compact and compare paths:
 2. equal paths are one node of the graph, which knows its first occurrence and, over all occurrences, the nodes before and after
    it. A join links a node to the one that always follows it and is always preceded by it; runs of linked nodes, which don't
    branch, compact into one span, and a second join gives one row for each occurrence of a span, however long it is;
-3. where an anchor has several nodes, where the graph branches, each node's first occurrence is opened into single edges, and the
-   graph of these edges is compacted in the same way;
+3. where an anchor has several nodes, where the graph branches, each node's first occurrence is opened into single edges, the graph
+   of these edges is compacted in the same way, and what it cuts is cut at the node's other places in documents of that rank too;
 4. source coordinates verify the spans: the words of a span must equal those at its first occurrence (by SHA-256, or word by word
    for the opened paths) before they are cut out of the text.
 """
@@ -128,11 +128,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     often = inner.groupBy("anchor", "span").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("anchor", "span")
     inner = tmp.table(inner.join(often, ["anchor", "span"], "left_semi"), "edges")
     same = later(inner, tmp.table(compacted(nodes_of(inner)), "edge-spans"))
-    texts = read.where("open").select(*ROW, F.col("start").alias("base"), F.split(F.col("words"), " ").alias("words"))
+    texts = read.where("open").select(*ROW, F.col("start").alias("base"), F.split(F.col("words"), " ").alias("words"), F.struct(*NODE).alias("node"))
     part = lambda words, place: F.slice(F.col(words), F.col(f"{place}start") - F.col(f"{place}base") + 1, F.col("long") - 1 + window)
     there = texts.select(F.struct(*ROW, "base").alias("there"), F.col("words").alias("first_words"))
     same = same.withColumn("there", F.struct("first.rank", "first.rid", "first.base")).join(there, "there").join(texts, [*ROW, "base"])
-    same = same.where(part("words", "") == part("first_words", "first.")).select(*ROW, "start", F.col("long").alias("edges"), F.lit(None).cast("binary").alias("digest"))
+    same = same.where(part("words", "") == part("first_words", "first.")).select(*ROW, "base", "start", F.col("long").alias("edges"), "node", F.unhex(F.sha2(F.array_join(part("words", ""), " "), 256)).alias("digest"))
+    same = tmp.table(same, "same")
+    # a node that stands several times in documents of its first rank loses the same edges at each of these places
+    twins = shared.select(F.struct(*NODE).alias("node"), "rank", F.col("rid").alias("own_rid"), F.col("start").alias("own_start")).join(same, ["node", "rank"]).where((F.col("own_rid") != F.col("rid")) | (F.col("own_start") != F.col("base")))
+    twins = twins.select("rank", F.col("own_rid").alias("rid"), (F.col("own_start") + F.col("start") - F.col("base")).alias("start"), "edges", "digest")
+    same = same.select(*ROW, "start", "edges", F.lit(None).cast("binary").alias("digest")).unionByName(twins)
     cuts = found.unionByName(same).groupBy(*ROW).agg(F.collect_list(F.struct("start", "edges", "digest")).alias("cuts"))  # as many as the text has spans
     cuts = Scratch(docs.sparkSession).table(cuts, "cuts")
     tmp.drop()
