@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, documents, small_batches
+from .common import blocks, crc_mod, documents, schema_of, small_batches
 from .sketches import sample
 
 #: Labelled rows that the rules are learnt from (documented bound).
@@ -47,7 +47,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             rows = np.array([statistics(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(keep))), *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=[*(f"k{i}" for i in range(len(keep))), *(f"s_{x}" for x in STATS)])
 
-    kinds = ", ".join([*(f"k{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(keep)), *(f"s_{x} double" for x in STATS)])
+    kinds = schema_of(**{f"k{i}": docs.schema[x].dataType for i, x in enumerate(keep)}, **{f"s_{x}": "double" for x in STATS})
     return docs.select(F.col("text").alias("text"), *(F.col(f"`{x}`").alias(f"k{i}") for i, x in enumerate(keep))).mapInArrow(run, kinds)
 
 
