@@ -126,10 +126,17 @@ def learn(rows: list, langs: list[str], idf: np.ndarray, alpha=2.0, beta=1.0, l1
     logits = np.array([(v * idf[f]) @ w[f] for _, f, v in (rows[i] for i in held)])
     y = np.array([at[rows[i][0]] for i in held])
 
+    # targets are smoothed by one error in all held rows: without an error among them the likelihood alone has no best temperature
+    smooth = 1 / (len(y) + 2)
+    target = np.full((len(y), len(langs)), smooth / max(1, len(langs) - 1))
+    target[np.arange(len(y)), y] = 1 - smooth
+
     def loss(t):
-        return -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
+        x = logits / t
+        x = x - x.max(axis=1, keepdims=True)
+        return (target * (np.log(np.exp(x).sum(axis=1, keepdims=True)) - x)).sum(axis=1).mean()
 
-    heat = min(np.geomspace(0.002, 20, 120), key=loss) if len(y) else 1.0
+    heat = min(np.geomspace(1e-4, 100, 400), key=loss) if len(y) and len(langs) > 1 else 1.0
     return (w * idf[:, None]).astype(np.float32), float(heat)
 
 
