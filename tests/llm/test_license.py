@@ -137,6 +137,15 @@ def test_held_out_notices_and_prose(spark):
     assert found >= 0.9 * len(POSITIVE) and wrong == 0
 
 
+def test_families_of_one_paragraph(spark):
+    """Lines that several licences have in common don't add families to a notice that is there as a whole; choices keep both."""
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"
+    texts = [gpl, gpl.replace("General", "Affero General"), "x\n\n" + gpl + "\n" + gpl, "Licensed under either of the Apache License, Version 2.0 or the MIT license."]
+    rows = {r.doc_id: r for r in ls.licenses(frame(spark, texts)).collect()}
+    assert [rows[i].families for i in range(4)] == [["gpl"], ["agpl"], ["gpl"], ["apache-2.0", "mit"]]
+    assert [rows[i].n_paragraphs for i in range(4)] == [1, 1, 2, 2]  # a blank line ends a paragraph
+
+
 def test_triggers_lose_nothing():
     """No template without its triggers could be confirmed."""
     chosen = set(ls.triggers())
