@@ -319,8 +319,9 @@ def _template_table(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, para, pos, par, line, family, probability, template_share, whole, confirmed of each line, sentence or clause that the
-    model takes for a licence notice; ``whole`` if it has most of a template, not just words of one as part of a wrapped sentence.
+    """doc_id, para, pos, par, line, family, probability, template_share, whole, text, confirmed of each line, sentence or clause that
+    the model takes for a licence notice; ``whole`` if it has most of a template, not just words of one as part of a wrapped
+    sentence, ``text`` if what confirms it isn't a heading only.
 
     Null and empty texts have no paragraphs; rows with equal ids share their paragraphs. A long text is cut where it lies.
     """
@@ -345,14 +346,15 @@ def scan(docs: DataFrame) -> DataFrame:
     there = F.col("shared") / F.col("n")  # how much of the unit is the template's
     part = F.when((F.col("kind") == "heading") & (there < MOSTLY), 0.0).when((F.col("kind") == "sentence") & (F.col("n") >= WORDS) & (F.col("part") >= PARTLY), F.greatest("part", there)).otherwise(F.col("part"))
     whole = F.when((F.col("kind") == "heading") & (there < MOSTLY), 0.0).otherwise(F.col("part"))
-    found = own.groupBy(*unit, "par", "line", "family", "probability").agg(F.round(F.max(part), 6).alias("template_share"), (F.round(F.max(whole), 6) >= AGREES).alias("whole"))
+    found = own.groupBy(*unit, "par", "line", "family", "probability").agg(F.round(F.max(part), 6).alias("template_share"), (F.round(F.max(whole), 6) >= AGREES).alias("whole"), (F.round(F.max(F.when(F.col("kind") != "heading", part)), 6) >= AGREES).alias("text"))
     return found.withColumn("confirmed", F.col("template_share") >= AGREES).drop("pid")
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, families (sorted distinct array of the confirmed ones), family (of the surest confirmed
     line or sentence, else ``unknown`` if the model saw a notice that no template confirms, else ``none``), probability,
-    template_share, n_paragraphs (the pairs of a paragraph and a family that is confirmed in it).
+    template_share, n_paragraphs (the pairs of a paragraph and a family that is confirmed in it; a heading counts only for a family
+    that no other paragraph shows).
 
     Null and empty texts give ``none``. Repeated rows stay repeated; rows with one id and different texts share a result. Ties go
     to the earlier paragraph. Other columns are not read, so their names don't matter; an empty table gives an empty result.
@@ -360,18 +362,16 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     found = scan(docs)
     order = F.struct(F.col("confirmed"), F.col("probability"), F.col("template_share"), (-F.col("para")).alias("b"), (-F.col("pos")).alias("p"), F.col("family"))
-    found = found.groupBy("doc_id", "para", "family").agg(F.max(order).alias("best"), F.max("whole").alias("whole"))
+    found = found.groupBy("doc_id", "para", "family").agg(F.max(order).alias("best"), F.max("whole").alias("whole"), F.max(F.coalesce("text", F.lit(False))).alias("text"))
     # parts of wrapped sentences are alike in several families: next to a whole template, or to a surer part, they count for nothing
-    each = F.collect_list(F.when(F.col("best.confirmed"), F.struct("whole", "best")))  # as many as families at most
+    each = F.collect_list(F.when(F.col("best.confirmed"), F.struct("whole", "best", "text")))  # as many as families at most
     found = found.groupBy("doc_id", "para").agg(each.alias("all"), F.max("best").alias("top"))
     surest, some = F.array_max(F.transform("all", lambda x: x["best"])), F.exists("all", lambda x: x["whole"])
     kept = F.filter("all", lambda x: x["whole"] | (~some & (x["best"] == surest)))
     found = found.select("doc_id", "top", F.explode_outer(kept).alias("kept"))
-    best = found.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("kept.best.family")).alias("families"),
-        F.max(F.coalesce("kept.best", "top")).alias("best"),
-        F.count("kept").alias("n_paragraphs"),
-    ).withColumnRenamed("doc_id", "_id")
+    # a heading belongs to the paragraphs of its family, if there are any
+    found = found.groupBy("doc_id", F.col("kept.best.family").alias("family")).agg(F.max(F.coalesce("kept.best", "top")).alias("best"), F.greatest(F.count_if("kept.text"), F.lit(1)).alias("n"))
+    best = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("family")).alias("families"), F.max("best").alias("best"), F.sum(F.when(F.col("family").isNotNull(), F.col("n"))).alias("n_paragraphs")).withColumnRenamed("doc_id", "_id")
     return docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id",
         F.when(F.col("best").isNull(), "none").when(F.col("best.confirmed"), F.col("best.family")).otherwise(UNKNOWN).alias("family"),
