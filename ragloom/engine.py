@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT, Config
 from .functions.text import hash_embedding
-from .operators import chunking, fusion, memory, models, retrieval, routing
+from .operators import chunking, fusion, lexical, memory, models, retrieval, routing
 from .sources import files
 
 PARENT = "parent_id string, ordinal int, text string, doc_id string, source string"
@@ -28,7 +28,7 @@ class Engine:
         self.parents = files.index(chunking.parents(docs, self.cfg), "parents")
         cut = chunking.children(self.parents, self.cfg).select("child_id", "parent_id", "doc_id", "text")
         self.children = files.index(retrieval.embed(cut, self.cfg, self.embedder), "children")
-        self.postings = files.index(retrieval.postings(self.children), "postings")
+        self.postings = lexical.build(self.children)
         return chunking.stats(docs, self.parents, self.children)
 
     def variants(self, questions: DataFrame) -> DataFrame:

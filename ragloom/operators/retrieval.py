@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions.text import hash_embedding, tokens
-from ..sources import files
+from . import lexical
 
 HIT = ["query_id", "variant", "retriever", "rank", "child_id", "score"]
 #: Bytes of query vectors that are broadcast at once; more queries go in several passes over the items.
@@ -44,19 +44,11 @@ def postings(children: DataFrame, key: str = "child_id") -> DataFrame:
     return toks.mapInArrow(run, schema)
 
 
-def bm25(queries: DataFrame, children: DataFrame, cfg: Config = DEFAULT, k: int | None = None, key: str = "child_id", posted: DataFrame | None = None) -> DataFrame:
-    """Top k chunks a query. Without stored postings they are written first, so that the chunks are cut into tokens once."""
-    by = keys_of(queries)
-    posted = files.index(postings(children, key), "postings") if posted is None else posted
-    totals = children.agg(F.count(F.lit(1)).alias("docs")).crossJoin(posted.agg(F.sum("tf").alias("all")))  # one row
-    totals = totals.select("docs", (F.col("all") / F.col("docs")).alias("mean"))
-    terms = queries.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    post = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / F.col("mean")))
-    scored = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(totals)).groupBy(*by, key).agg(F.round(F.sum(idf * tf), 6).alias("score"))
-    return top(scored, k or cfg.per_retriever, key, by).withColumn("retriever", F.lit("bm25"))
+def bm25(queries: DataFrame, children: DataFrame, cfg: Config = DEFAULT, k: int | None = None, key: str = "child_id", posted: lexical.Lexical | None = None) -> DataFrame:
+    """Top k chunks a query. Without a stored index one is written first, so that the chunks are cut into tokens once."""
+    by, k = keys_of(queries), k or cfg.per_retriever
+    posted = lexical.build(children, key) if posted is None else posted
+    return top(lexical.search(queries, posted, by, key, k, cfg), k, key, by).withColumn("retriever", F.lit("bm25"))
 
 
 def top(scored: DataFrame, k: int, key: str, by: list[str]) -> DataFrame:
