@@ -1,4 +1,4 @@
-"""Column expressions over text: splitting, tokens, hash embedding, templates. SQL strings, so that they stay in the JVM."""
+"""Column expressions over text: tokens, hash embedding, templates."""
 
 from __future__ import annotations
 
@@ -16,46 +16,6 @@ BLANK = r"^[\x09-\x0d\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}
 TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 
-def _pack(units: str, most: int, overlap: int, joiner: str, v: str, size: str = "length({})", tail: str = "right({}, {})", gap: int = 1) -> str:
-    """Greedy packing of an array of strings into chunks of at most ``most`` in ``size``; a joiner counts ``gap``. A chunk after the
-    first starts with the ``tail`` of the one before it where that leaves room."""
-    a, x = f"a{v}", f"x{v}"
-    cur, new = size.format(f"{a}.cur"), size.format(x)
-    carry = f"concat({tail.format(f'{a}.cur', overlap)}, '{joiner}', {x})" if overlap else x
-    return (
-        f"aggregate({units}, named_struct('done', cast(array() AS array<string>), 'cur', cast(NULL AS string)), ({a}, {x}) -> "
-        f"CASE WHEN {a}.cur IS NULL THEN named_struct('done', {a}.done, 'cur', {x}) "
-        f"WHEN {cur} + {gap} + {new} <= {most} THEN named_struct('done', {a}.done, 'cur', concat({a}.cur, '{joiner}', {x})) "
-        f"ELSE named_struct('done', concat({a}.done, array({a}.cur)), 'cur', CASE WHEN least({overlap}, {cur}) + {gap} + {new} <= {most} THEN {carry} ELSE {x} END) END, "
-        f"{a} -> CASE WHEN {a}.cur IS NULL THEN {a}.done ELSE concat({a}.done, array({a}.cur)) END)"
-    )
-
-
-def chunks_sql(text: str, most: int, overlap: int) -> str:
-    """Paragraphs, else lines, else sentences, else words, else hard cuts, packed to ``most`` characters with an overlap."""
-    cut = f"transform(sequence(0, cast((length(w) - 1) / {most} AS int)), k -> substring(w, k * {most} + 1, {most}))"
-    words = _pack(f"flatten(transform(filter(split(s, ' '), w -> length(w) > 0), w -> {cut}))", most, 0, " ", "1")
-    sentences = f"flatten(transform(regexp_extract_all(l, '{SENTENCE}', 0), s -> CASE WHEN length(s) <= {most} THEN array(s) ELSE {words} END))"
-    lines = f"flatten(transform(split(p, '\\\\n'), l -> CASE WHEN length(l) <= {most} THEN array(l) ELSE {sentences} END))"
-    units = f"flatten(transform(split({text}, '\\\\n\\\\s*\\\\n'), p -> CASE WHEN length(p) <= {most} THEN array(p) ELSE {lines} END))"
-    return _pack(f"filter({units}, u -> u rlike '\\\\S')", most, overlap, "\\n", "0")
-
-
-#: Words of a text, which count as its tokens where chunks are measured in tokens.
-WORDS = "regexp_extract_all({}, '[^ \\\\n\\\\r\\\\t]+', 0)"
-
-
-def token_chunks_sql(text: str, most: int, overlap: int) -> str:
-    """`chunks_sql` measured in words: a paragraph, line or sentence that is too long is cut further, at last into single words."""
-    size, tail = f"size({WORDS})", "array_join(slice({w}, greatest(size({w}) - {n} + 1, 1), {n}), ' ')".replace("{w}", WORDS.replace("{}", "{0}")).replace("{n}", "{1}")
-    fits = lambda x: f"{size.format(x)} <= {most}"
-    words = _pack(WORDS.format("s"), most, 0, " ", "1", size, tail, 0)
-    sentences = f"flatten(transform(regexp_extract_all(l, '{SENTENCE}', 0), s -> CASE WHEN {fits('s')} THEN array(s) ELSE {words} END))"
-    lines = f"flatten(transform(split(p, '\\\\n'), l -> CASE WHEN {fits('l')} THEN array(l) ELSE {sentences} END))"
-    units = f"flatten(transform(split({text}, '\\\\n\\\\s*\\\\n'), p -> CASE WHEN {fits('p')} THEN array(p) ELSE {lines} END))"
-    return _pack(f"filter({units}, u -> {size.format('u')} > 0)", most, overlap, "\\n", "0", size, tail, 0)
-
-
 def tokens(col: str | Column) -> Column:
     """Lower-cased runs of letters and digits; each Han character is a token of its own."""
     c = F.col(col) if isinstance(col, str) else col

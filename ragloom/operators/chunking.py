@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import DEFAULT, Config
-from ..functions.text import chunks_sql, token_chunks_sql
+from ..functions.split import CHARS, TOKENS, chunks
 
 
 def split(docs: DataFrame, most: int, overlap: int, measure: str = "chars") -> DataFrame:
-    """One row per chunk of ``text``: the other columns, ordinal and text. ``measure``: chars or tokens (words)."""
-    cut = {"chars": chunks_sql, "tokens": token_chunks_sql}[measure]("text", most, overlap)
-    return docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(F.expr(cut)).alias("ordinal", "text"))
+    """One row per chunk of ``text``: the other columns, ordinal and text. ``measure``: chars or tokens (words). A text is cut in one
+    pass; null and blank ones give no chunk."""
+    m = {"chars": CHARS, "tokens": TOKENS}[measure]
+    others = [c for c in docs.columns if c != "text"]
+    schema = StructType([*(docs.schema[c] for c in others), StructField("ordinal", IntegerType()), StructField("text", StringType())])
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.names.index("text"))
+            for lo in range(0, b.num_rows, ROWS):
+                cut = [chunks(t, most, overlap, m) if t else [] for t in texts.slice(lo, ROWS).to_pylist()]
+                n = np.array([len(c) for c in cut])
+                row = pa.array(lo + np.repeat(np.arange(len(n)), n))
+                ordinal = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                columns = [b.column(i).take(row) for i, c in enumerate(b.schema.names) if c != "text"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ordinal.astype(np.int32)), pa.array([x for c in cut for x in c], pa.string())], names=schema.names)
+
+    return docs.select(*(F.col(f"`{c}`") for c in [*others, "text"])).mapInArrow(run, schema)
+
+
+#: Texts that a task cuts before it hands on their chunks.
+ROWS = 256
 
 
 def parents(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

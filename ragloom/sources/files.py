@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import snapshots
+
 
 def text_dir(spark: SparkSession, path: str, glob: str = "*.{txt,md}", recursive: bool = True) -> DataFrame:
     """doc_id and source (file name), text, one row a file. A missing folder is a FileNotFoundError."""
@@ -84,11 +87,23 @@ def declared(df: DataFrame, schema: StructType | str) -> DataFrame:
 
 
 def rebuild(df: DataFrame, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Full, idempotent rebuild, in a declared schema if one is given; the rows can be read as soon as it returns."""
+    """Full, idempotent rebuild as a new version of the table at ``path``, in a declared schema if one is given; the rows can be read
+    as soon as it returns. ``df`` may read the version before it, which stays whole if the rebuild fails."""
+    spark = df.sparkSession
     df = df if schema is None else declared(df, schema)
-    df.write.mode("overwrite").parquet(path)
-    df.sparkSession.catalog.refreshByPath(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before, _ = snapshots.manifest(spark, path)
+    data = snapshots.fresh(path)
+    df.write.parquet(f"{path}/{data}")
+    snapshots.publish(spark, path, {"data": data, "schema": df.schema.json()}, before)
+    return read(spark, path)
+
+
+def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table that `rebuild` wrote, in its last or an older version. FileNotFoundError where there is none."""
+    _, says = snapshots.manifest(spark, path, version)
+    if not says:
+        raise FileNotFoundError(f"there is no table at {path}")
+    return spark.read.schema(StructType.fromJson(json.loads(says["schema"]))).parquet(f"{path}/{says['data']}")
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -112,7 +127,13 @@ def append(df: DataFrame, path: str) -> None:
 
 def index(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table to the folder that all executors share and read it again, as an index that queries reuse."""
-    return rebuild(df, f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return written(df, f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to a new folder and read it from there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _local: list[str] = []
