@@ -158,7 +158,11 @@ ORACLES = {
     "rerank_top3": f"WITH {HITS} SELECT query_id, rank, chunk_id, score FROM top3",
     "rerank_off_top3": f"WITH {HITS} SELECT query_id, rank, chunk_id FROM off3",
     "fallback_children": f"WITH {HITS} SELECT query_id, rank, child_id AS chunk_id, 'child' AS kind FROM best",
-    "rrf_retrieve": f"WITH {HITS} SELECT query_id, rank, chunk_id, text, score, kind FROM aug",
+    "rrf_retrieve": (_RETRIEVE := f"WITH {HITS} SELECT query_id, rank, chunk_id, text, score, kind FROM aug"),
+    "append_retrieve": _RETRIEVE,
+    "stream_retrieve": _RETRIEVE,
+    "delete_retrieve": _RETRIEVE.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS documents"),
+    "cells_exact_top20": _knn_sql(20),
     "route_rules": f"SELECT * FROM {_USER}",
     "route_reason_counts": f"SELECT route, reason, count(*) AS n FROM {_USER} GROUP BY ALL",
     "route_eval": f"SELECT question, expected, route, reason FROM {_route(_CASES, 'text AS question, expected', chr(91) + _q('open') + ', ' + _q('open') + chr(93))}",
@@ -169,7 +173,9 @@ ORACLES = {
     "memory_window_20": _window(20),
     "memory_json": "SELECT conv_id, turn, role, text FROM conversations",
     "memory_upsert": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') UNION ALL SELECT conv_id, turn, role, '[new] ' || text FROM conversations WHERE role = 'system'",
+    "store_upsert": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') UNION ALL SELECT conv_id, turn, role, '[new] ' || text FROM conversations WHERE role = 'system'",
     "memory_delete": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",
+    "store_delete": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",
     "booking_insert_if_absent": f"WITH {_FREE} SELECT {_ROW} FROM b UNION ALL SELECT (SELECT max(id) FROM b) + request_id, {_ROW.removeprefix('id, ')} FROM f",
     "booking_messages": f"WITH {_FREE} SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM f) THEN {_q(booking.BOOKED)} ELSE {_q(booking.TAKEN)} END AS message FROM r",
     "booking_cancel": f"WITH {_HIT} SELECT {_ROW} FROM b WHERE id NOT IN (SELECT id FROM h)",

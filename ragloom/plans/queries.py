@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..engine import Engine
 from ..functions.text import conversation_id, get_or, hash_embedding, merge_counts, render, tokens
-from ..operators import booking, chunking, fusion, memory, models, retrieval, routing
-from ..sources import files
+from ..operators import booking, cells, chunking, fusion, lookup, memory, models, retrieval, routing, segments
+from ..sources import files, keyed
 from ..streaming import state
 from . import fixtures
 
@@ -91,6 +91,14 @@ def _knn(k, min_score=DEFAULT.min_score):
     return query
 
 
+def _cells(exact):
+    def query(spark, d):
+        queries, items = _vectors(spark, d)
+        return cells.search(queries, cells.build(items, "vec_id"), 20, exact=exact).select("query_id", "rank", "vec_id", "score")
+
+    return query
+
+
 def hash_embed(spark, d):
     return _questions(spark, d).select("query_id", F.posexplode(hash_embedding("text", DEFAULT.dims)).alias("dim", "value"))
 
@@ -167,6 +175,38 @@ def rrf_retrieve(spark, d):
     return _engine(spark, d).retrieve(_questions(spark, d))
 
 
+def _base(spark, name):
+    return segments.Base(spark, f"{files.shared(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def _appended(spark, d, name):
+    """A base that got the documents in three calls, two of whose segments have merged."""
+    base, docs = _base(spark, name), _table(spark, d, "documents")
+    for k in range(3):
+        base.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k))
+    base.merge(2)
+    return base
+
+
+def append_retrieve(spark, d):
+    """The same as `rrf_retrieve`, from segments."""
+    return _appended(spark, d, "append").engine().retrieve(_questions(spark, d))
+
+
+def delete_retrieve(spark, d):
+    """As if the documents that are labelled toxic had never been there."""
+    base = _appended(spark, d, "delete")
+    base.delete(_table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+    return base.engine().retrieve(_questions(spark, d))
+
+
+def stream_retrieve(spark, d):
+    """Documents that come by a stream are searched as if they had been there at once."""
+    base = _base(spark, "stream")
+    state.feed(_doc_stream(spark, d), base, f"{base.path}-state")
+    return base.engine().retrieve(_questions(spark, d))
+
+
 VARIANTS = replace(DEFAULT, variants=2)
 
 
@@ -283,6 +323,25 @@ def memory_delete(spark, d):
     return memory.delete(c, c.where("role = 'system'").select("conv_id"))
 
 
+def _store(spark, d):
+    store = keyed.Keyed(spark, f"{files.shared(spark)}/store-{uuid.uuid4().hex}", "conv_id")
+    store.put(_table(spark, d, "conversations"))
+    return store
+
+
+def store_upsert(spark, d):
+    """`memory_upsert` in a stored table, of which only the touched buckets are written anew."""
+    store, c = _store(spark, d), _table(spark, d, "conversations")
+    store.put(c.where("role = 'system'").withColumn("text", F.concat(F.lit("[new] "), "text")))
+    return store.all()
+
+
+def store_delete(spark, d):
+    store, c = _store(spark, d), _table(spark, d, "conversations")
+    store.delete(c.where("role = 'system'").select("conv_id"))
+    return store.all()
+
+
 def memory_shared(spark, d):
     return memory.shared_window(_table(spark, d, "conversations"), DEFAULT.memory_small, "turn", "conv_id").select("conv_id", "turn", "role", "text")
 
@@ -366,21 +425,9 @@ def delta_suffix(spark, d):
 
 # evaluation
 def recall_at_3(spark, d):
-    """Share of the questions whose text stands in a document that have such a document among the three retrieved parents.
-
-    A document can contain a text only if it has all tokens between that text's first and last one; documents are looked up by the
-    rarest of these. Only texts of fewer than three tokens are compared with every document.
-    """
-    q, docs = _questions(spark, d).withColumnRenamed("text", "item"), _table(spark, d, "documents").select("doc_id", "text")
-    q = q.withColumn("inner", F.slice(tokens("item"), 2, F.greatest(F.size(tokens("item")) - 2, F.lit(0))))
-    where = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    terms = q.select("query_id", F.explode(F.array_distinct("inner")).alias("term"))
-    found = files.index(where.join(terms.select("term").distinct(), "term", "left_semi"), "found-terms")
-    rarest = terms.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
-    pairs = rarest.join(found, "term").select("query_id", "doc_id").join(q.select("query_id", "item"), "query_id").join(docs, "doc_id")
-    short = q.where(F.size("inner") < 1).select("query_id", "item").join(docs, F.expr("contains(text, item)"))
-    truth = pairs.where(F.expr("contains(text, item)")).unionByName(short, allowMissingColumns=True).select("query_id", F.col("doc_id").cast("string").alias("want"))
-    truth = files.index(truth, "truth")
+    """Share of the questions whose text stands in a document that have such a document among the three retrieved parents."""
+    truth = lookup.contained(_questions(spark, d), _table(spark, d, "documents"))
+    truth = files.index(truth.select("query_id", F.col("doc_id").cast("string").alias("want")), "truth")
     got = rerank_top3(spark, d).select("query_id", F.split("chunk_id", "#")[0].alias("want"))
     cases = truth.select("query_id").distinct()
     hit = got.join(truth, ["query_id", "want"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1.0))
@@ -417,8 +464,12 @@ def stream_memory_state(spark, d):
     return state.latest(updates, "conv_id").select("conv_id", F.inline("messages"))
 
 
+def _doc_stream(spark, d):
+    return spark.readStream.schema(_table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+
+
 def stream_ingest(spark, d):
-    docs = spark.readStream.schema(_table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = _doc_stream(spark, d)
     whole = lambda batch: chunking.children(chunking.parents(batch)).select("child_id", "parent_id", "doc_id", "ordinal", "text")
     return state.ingest(docs, whole, f"{files.shared(spark)}/ingest-{uuid.uuid4().hex}")
 
@@ -426,7 +477,7 @@ def stream_ingest(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
-        memory_json, memory_upsert, memory_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_ingest,
+        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
+        memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_ingest,
     )
-} | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}
+} | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}

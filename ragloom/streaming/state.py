@@ -66,3 +66,15 @@ def ingest(docs: DataFrame, pipeline, path: str) -> DataFrame:
 
     docs.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table").drop("epoch")
+
+
+def feed(docs: DataFrame, base, path: str) -> None:
+    """Incremental ingest into a knowledge base (`operators.segments.Base`): each micro-batch of new documents becomes a segment, once,
+    also if the batch is run again after a failure; segments merge as they add up."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        if base.append(batch, (path, epoch)):
+            while base.merge():
+                pass
+
+    docs.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
