@@ -22,6 +22,10 @@ class Config:
     dims: int = 64
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
+    feedback: bool = False
+    feedback_chunks: int = 5
+    feedback_terms: int = 10
+    feedback_weight: float = 0.3
     variants: int = 1
     rerank: bool = True
     router_enabled: bool = True

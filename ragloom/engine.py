@@ -38,9 +38,9 @@ class Engine:
     def hits(self, questions: DataFrame, wordings: DataFrame | None = None) -> DataFrame:
         """Both retrievers' ranked lists for every wording."""
         cfg, q = self.cfg, self.variants(questions) if wordings is None else wordings
-        lexical = retrieval.bm25(q, self.children, cfg, posted=self.postings)
+        by_words = (retrieval.bm25_feedback if cfg.feedback else retrieval.bm25)(q, self.children, cfg, posted=self.postings)
         near = retrieval.knn(q, self.children, cfg.per_retriever, cfg.min_score, dims=cfg.dims)
-        both = lexical.select(*retrieval.HIT).unionByName(near.select(*retrieval.HIT))
+        both = by_words.select(*retrieval.HIT).unionByName(near.select(*retrieval.HIT))
         return both.join(self.children.select("child_id", "parent_id", "doc_id", "text"), "child_id")
 
     def retrieve(self, questions: DataFrame) -> DataFrame:

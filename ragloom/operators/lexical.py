@@ -133,7 +133,7 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _best(blocks: DataFrame, terms: pa.Table, nq: int, mean: float, docs: int, k: int, cfg: Config) -> DataFrame:
-    """(q, key, score): the k best of every partition for each of ``nq`` questions; terms: q, term, df."""
+    """(q, key, score): the k best of every partition for each of ``nq`` questions; terms: q, term, df, weight."""
     from .retrieval import best_of
 
     coded = terms["term"].combine_chunks().dictionary_encode()
@@ -143,7 +143,8 @@ def _best(blocks: DataFrame, terms: pa.Table, nq: int, mean: float, docs: int, k
     idf = np.log1p((docs - df + 0.5) / (df + 0.5))
     asked = terms["q"].to_numpy()[order]  # questions of each term, one term after the other
     first = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(df) + 1))
-    shared = blocks.sparkSession.sparkContext.broadcast((coded.dictionary, idf, asked, first))  # QUERY_BYTES and the terms
+    weights = terms["weight"].to_numpy()[order]
+    shared = blocks.sparkSession.sparkContext.broadcast((coded.dictionary, idf, asked, weights, first))  # QUERY_BYTES and the terms
     schema = StructType([StructField("q", LongType()), StructField("key", blocks.schema["keys"].dataType.elementType), *StructType.fromDDL("score double").fields])
     k1, b_ = cfg.bm25_k1, cfg.bm25_b
 
@@ -151,7 +152,7 @@ def _best(blocks: DataFrame, terms: pa.Table, nq: int, mean: float, docs: int, k
         return n * (k1 + 1) / (n + k1 * (1 - b_ + b_ * length / mean))
 
     def run(batches):
-        vocabulary, idf, asked, first = shared.value
+        vocabulary, idf, asked, boost, first = shared.value
         query, score, names = [], [], []
         floor = np.zeros(nq)  # the k-th best so far
         held = 0
@@ -175,13 +176,15 @@ def _best(blocks: DataFrame, terms: pa.Table, nq: int, mean: float, docs: int, k
                 term = here[use]
                 n_asked = first[term + 1] - first[term]
                 most = idf[term] * weight(_lists(batch.column("most"), i)[use], _lists(batch.column("least"), i)[use])
-                of = asked[_spans(first[term], n_asked)]
-                bound = np.bincount(of, np.repeat(most, n_asked), nq)
+                at = _spans(first[term], n_asked)
+                of, pair_boost = asked[at], boost[at]
+                bound = np.bincount(of, np.repeat(most, n_asked) * pair_boost, nq)
                 alive = (bound > 0) & (bound >= floor - 1e-6)
                 live = np.flatnonzero(alive)
                 number = np.cumsum(alive) - 1
                 starts = _lists(batch.column("starts"), i)
                 pair_term, pair_q = np.repeat(np.arange(len(use)), n_asked)[alive[of]], number[of[alive[of]]]
+                pair_idf = idf[term][pair_term] * pair_boost[alive[of]]
                 size = (starts[use + 1] - starts[use])[pair_term]
                 at = _spans(starts[use][pair_term], size)
                 chunk = _lists(batch.column("chunks"), i)
@@ -191,7 +194,7 @@ def _best(blocks: DataFrame, terms: pa.Table, nq: int, mean: float, docs: int, k
                 for lo in range(0, len(live), step):
                     own = np.ones(len(at), bool) if len(live) <= step else np.repeat((pair_q >= lo) & (pair_q < lo + step), size)
                     m = min(step, len(live) - lo)
-                    s = np.bincount((np.repeat(pair_q, size)[own] - lo) * len(lengths) + chunk[at[own]], np.repeat(idf[term][pair_term], size)[own] * value[at[own]], m * len(lengths)).reshape(m, -1)
+                    s = np.bincount((np.repeat(pair_q, size)[own] - lo) * len(lengths) + chunk[at[own]], np.repeat(pair_idf, size)[own] * value[at[own]], m * len(lengths)).reshape(m, -1)
                     if dead is not None:
                         s[:, dead.to_numpy()] = 0
                     some = s > 0
@@ -216,19 +219,24 @@ def _best(blocks: DataFrame, terms: pa.Table, nq: int, mean: float, docs: int, k
 
 def search(queries: DataFrame, index: Lexical, by: list[str], key: str, k: int, cfg: Config = DEFAULT) -> DataFrame:
     """(*by, key, score) of the k best chunks of every task. Questions without a term of the index have no rows."""
-    spark = queries.sparkSession
-    schema = StructType([*(queries.schema[c] for c in by), StructField("key", index.blocks.schema["keys"].dataType.elementType), *StructType.fromDDL("score double").fields])
-    terms = queries.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    terms = queries.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("term"), F.lit(1.0).alias("weight"))
+    return weighted(terms, index, by, key, k, cfg)
+
+
+def weighted(terms: DataFrame, index: Lexical, by: list[str], key: str, k: int, cfg: Config = DEFAULT) -> DataFrame:
+    """`search` for questions that are given as terms with weights (*by, term, weight), each term once, weights above 0."""
+    spark = terms.sparkSession
+    schema = StructType([*(terms.schema[c] for c in by), StructField("key", index.blocks.schema["keys"].dataType.elementType), *StructType.fromDDL("score double").fields])
     terms = files.index(terms.join(index.terms, "term"), "asked-terms")
-    passes = max(1, -(-terms.count() * 32 // QUERY_BYTES))
+    passes = max(1, -(-terms.count() * 40 // QUERY_BYTES))
     mean, found = index.tokens / max(1, index.docs), None
     for i in range(passes):
         part = (terms if passes == 1 else terms.where(F.pmod(F.xxhash64(*by), F.lit(passes)) == i)).toArrow().combine_chunks()
         if not part.num_rows:
             continue
-        seen, of = np.unique(np.array([str(x) for x in part.select(by).to_pylist()]), return_inverse=True)
-        names = part.select(by).take(pa.array(np.unique(of, return_index=True)[1])).append_column("q", pa.array(np.arange(len(seen))))
-        names = spark.createDataFrame(names, StructType([*(queries.schema[c] for c in by), StructField("q", LongType())]))
+        seen, at, of = np.unique(np.array([str(x) for x in part.select(by).to_pylist()]), return_index=True, return_inverse=True)
+        names = part.select(by).take(pa.array(at)).append_column("q", pa.array(np.arange(len(seen))))
+        names = spark.createDataFrame(names, StructType([*(terms.schema[c] for c in by), StructField("q", LongType())]))
         own = _best(_blocks(index), part.append_column("q", pa.array(of)), len(seen), mean, index.docs, k, cfg).join(F.broadcast(names), "q").drop("q")  # a pass's questions
         found = own if found is None else found.unionByName(own)
     found = spark.createDataFrame([], schema) if found is None else found.select(*schema.names)

@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions.text import hash_embedding, tokens
+from ..sources import files
 from . import lexical
 
 HIT = ["query_id", "variant", "retriever", "rank", "child_id", "score"]
@@ -51,6 +52,34 @@ def bm25(queries: DataFrame, children: DataFrame, cfg: Config = DEFAULT, k: int
     return top(lexical.search(queries, posted, by, key, k, cfg), k, key, by).withColumn("retriever", F.lit("bm25"))
 
 
+def feedback_terms(queries: DataFrame, first: DataFrame, items: DataFrame, posted: lexical.Lexical, cfg: Config = DEFAULT, key: str = "child_id") -> DataFrame:
+    """(query, term, weight): the query's terms, and those that mark the best ``cfg.feedback_chunks`` chunks of its ``first`` list, up to
+    ``cfg.feedback_terms`` with weights of ``cfg.feedback_weight`` and less.
+
+    A term weighs its share of each chunk times its inverse frequency, summed over the chunks by their scores.
+    """
+    by = keys_of(queries)
+    own = queries.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    best = first.where(F.col("rank") <= cfg.feedback_chunks).select(*by, key, "score")
+    share = F.col("score") / F.sum("score").over(Window.partitionBy(*by))
+    texts = items.select(key, tokens("text").alias("toks")).join(best.select(key).distinct(), key, "left_semi")
+    said = best.withColumn("share", share).join(texts, key).select(*by, F.explode("toks").alias("term"), (F.col("share") / F.size("toks")).alias("part"))
+    said = said.groupBy(*by, "term").agg(F.sum("part").alias("part")).join(own, [*by, "term"], "left_anti").join(posted.terms, "term")
+    w = F.round(F.col("part") * F.log1p((F.lit(posted.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9)
+    said = said.withColumn("w", w).where("w > 0").withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), "term")))
+    said = said.withColumn("most", F.max("w").over(Window.partitionBy(*by))).where(F.col("n") <= cfg.feedback_terms)
+    return own.withColumn("weight", F.lit(1.0)).unionByName(said.select(*by, "term", (F.col("w") / F.col("most") * cfg.feedback_weight).alias("weight")))
+
+
+def bm25_feedback(queries: DataFrame, items: DataFrame, cfg: Config = DEFAULT, k: int | None = None, key: str = "child_id", posted: lexical.Lexical | None = None) -> DataFrame:
+    """`bm25` twice: the second time the question is widened by the terms of what the first found (`feedback_terms`)."""
+    by, k = keys_of(queries), k or cfg.per_retriever
+    posted = lexical.build(items, key) if posted is None else posted
+    first = files.index(bm25(queries, items, cfg, max(k, cfg.feedback_chunks), key, posted), "first")
+    terms = feedback_terms(queries, first, items, posted, cfg, key)
+    return top(lexical.weighted(terms, posted, by, key, k, cfg), k, key, by).withColumn("retriever", F.lit("bm25"))
+
+
 def top(scored: DataFrame, k: int, key: str, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -66,6 +66,16 @@ def _bm25(items: str, key: str, k: int, queries: str = "(SELECT item_id AS query
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, {key}) AS rank FROM sc) WHERE rank <= {k})"""
 
 
+_IDF = "ln(1 + (docs - df + 0.5) / (df + 0.5))"
+_FEEDBACK = f"""{_bm25("documents", "doc_id", DEFAULT.per_retriever)},
+    fb AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS share FROM bm WHERE rank <= {DEFAULT.feedback_chunks}),
+    fw AS (SELECT query_id, term, round(sum(share * tf / n) * min({_IDF}), 9) AS w FROM fb JOIN po USING (doc_id) JOIN df USING (term), st WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM qt) GROUP BY ALL),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, term) AS r, max(w) OVER (PARTITION BY query_id) AS most FROM fw WHERE w > 0),
+    wt AS (SELECT query_id, term, 1.0::DOUBLE AS weight FROM qt UNION ALL SELECT query_id, term, w / most * {DEFAULT.feedback_weight} FROM fr WHERE r <= {DEFAULT.feedback_terms}),
+    sw AS (SELECT query_id, doc_id, round(sum(weight * {_IDF} * (tf * {DEFAULT.bm25_k1 + 1} / (tf + {DEFAULT.bm25_k1} * ({1 - DEFAULT.bm25_b} + {DEFAULT.bm25_b} * n / mean)))), 6) AS score FROM po JOIN df USING (term) JOIN wt USING (term), st GROUP BY ALL),
+    fm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sw) WHERE rank <= {DEFAULT.per_retriever})"""
+
+
 def _embed(c: str) -> str:
     return f"(SELECT list_transform(generate_series(0, {DEFAULT.dims - 1}), lambda i: len(list_filter(hs, lambda h: h = i))::DOUBLE) FROM (SELECT list_transform({_toks(c)}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {DEFAULT.dims}) AS hs))"
 
@@ -148,6 +158,8 @@ ORACLES = {
     "tokenize_docs": f"SELECT doc_id, len({_toks('text')})::INT AS n_tokens, len(list_distinct({_toks('text')}))::INT AS n_distinct FROM documents",
     "bm25_postings": f"SELECT doc_id, term, count(*) AS tf, length FROM (SELECT doc_id, len({_toks('text')})::INT AS length, unnest({_toks('text')}) AS term FROM documents) GROUP BY ALL",
     "bm25_top20": f"WITH {_bm25('documents', 'doc_id', DEFAULT.per_retriever)} SELECT query_id, rank, doc_id, score FROM bm",
+    "feedback_top20": f"WITH {_FEEDBACK} SELECT query_id, rank, doc_id, score FROM fm",
+    "feedback_recall": f"WITH {_FEEDBACK}, truth AS (SELECT item_id AS query_id, doc_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)), hits AS (SELECT 'asked' AS way, query_id, doc_id FROM bm UNION ALL SELECT 'feedback', query_id, doc_id FROM fm) SELECT way, (SELECT count(*) FROM truth) AS pairs, count(t.doc_id) AS hits FROM hits LEFT JOIN truth AS t USING (query_id, doc_id) GROUP BY way",
     "knn_top20": _knn_sql(20),
     "knn_top5_tool": _knn_sql(5),
     "knn_top1": _knn_sql(1),
