@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..engine import Engine
 from ..functions.text import conversation_id, get_or, hash_embedding, merge_counts, render, tokens
-from ..operators import booking, cells, chunking, fusion, lexical, lookup, memory, models, retrieval, routing, segments
+from ..operators import booking, cells, chunking, fusion, latent, lexical, lookup, memory, models, retrieval, routing, segments
 from ..sources import files, keyed
 from ..streaming import state
 from . import fixtures
@@ -94,6 +94,18 @@ def feedback_recall(spark, d):
     return ways.join(hits, "way", "left").crossJoin(pairs).select("way", "pairs", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
+def latent_recall(spark, d):
+    """`feedback_recall`'s measure of the nearest vectors, by counts of hashed tokens and by learned vectors."""
+    q, docs = _questions(spark, d), _table(spark, d, "documents").select("doc_id", "text")
+    truth = files.index(lookup.contained(q, docs), "truth")
+    model = latent.fit(docs, DEFAULT.dims)
+    found = None
+    for way, embedder in (("hashed", hash_embedding), ("latent", model.embed)):
+        near = retrieval.knn(retrieval.embed(q, DEFAULT, embedder), retrieval.embed(docs, DEFAULT, embedder), 20, key="doc_id").withColumn("way", F.lit(way))
+        found = near if found is None else found.unionByName(near)
+    return found.join(truth, ["query_id", "doc_id"], "left_semi").groupBy("way").agg(F.count(F.lit(1)).alias("hits"))
+
+
 # vectors
 def _vectors(spark, d):
     e = _table(spark, d, "embeddings")
@@ -493,7 +505,7 @@ def stream_ingest(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
+        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
         memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_ingest,
     )
 } | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}
