@@ -52,10 +52,12 @@ class Assistant:
     tools: tuple[str, ...] = ()
 
 
-#: Assistants by name: the chat entry's two, one with a memory of its own per key, and one whose memory all callers share.
+#: Assistants by name: the chat entry's two, ones with a memory of their own per key (by a system text, and by a fixed request before
+#: each message), and one whose memory all callers share. ``Engine.converse`` puts their prompts together.
 ASSISTANTS = {
     "main": Assistant(memory=DEFAULT.memory_main, retrieval=True, tools=("book", "cancel", "available")),
     "agentic": Assistant(memory=DEFAULT.memory_main, tools=("search", "book", "cancel", "available", "files")),
-    "separate": Assistant(memory=DEFAULT.memory_small, tools=("add", "root")),
+    "separate": Assistant(system="You answer in one sentence. Today is {{current_date}}.", memory=DEFAULT.memory_small, tools=("add", "root")),
+    "friend": Assistant(user="你是我的好朋友，请用粤语回答问题。{{message}}", memory=DEFAULT.memory_small),  # fixed value
     "shared": Assistant(memory=DEFAULT.memory_small, memory_per_key=False),
 }

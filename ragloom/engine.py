@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import DEFAULT, Config
-from .functions.text import hash_embedding
+from .config import DEFAULT, Assistant, Config
+from .functions.text import hash_embedding, render
 from .operators import chunking, fusion, lexical, memory, models, retrieval, routing
 from .sources import files
 
@@ -79,6 +79,44 @@ class Engine:
         tool = self.search(questions).withColumn("rank", F.lit(1)).withColumnRenamed("answer", "text")
         return self._answered(fusion.inject(questions, tool), history)
 
+    def converse(self, assistant: Assistant, history: DataFrame, said: DataFrame, **values: Column) -> DataFrame:
+        """conv_id, turn, messages, answer for new user messages ``said`` (conv_id, turn, text), one a conversation, after ``history``
+        (conv_id, turn, role, text).
+
+        The assistant's system text takes the place of the stored ones, its user template surrounds the message, ``values`` (columns of
+        ``said`` or constants) fill the other holes. With a memory the last messages are passed along, the system text and the new message
+        among its number; a shared memory has the last messages of all conversations. With retrieval the texts found for the
+        message follow it. The model sees the assistant's tools as column ``tools``.
+        """
+        message = ["conv_id", "turn", "role", "text"]
+        values = {"current_date": F.current_date(), **values}
+        own = said.select("conv_id", "turn", F.lit("user").alias("role"), render(assistant.user, {"message": F.col("text"), **values}).alias("text"))
+        if assistant.retrieval:
+            asked = own.select(F.col("conv_id").alias("query_id"), "text")
+            found = fusion.inject(asked, self.retrieve(asked)).withColumnsRenamed({"query_id": "conv_id", "prompt": "text"})
+            own = own.drop("text").join(found, "conv_id").select(*message)
+        system = None
+        if assistant.system is not None:
+            system = said.select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), render(assistant.system, values).alias("text"))
+            history = history.where("role IS NULL OR role <> 'system'")
+        if assistant.memory is None:
+            rows = own
+        elif assistant.memory_per_key:
+            before = history.select(*message).join(said.select("conv_id"), "conv_id", "left_semi").unionByName(own)
+            return self._said(memory.window(before if system is None else before.unionByName(system), assistant.memory), assistant)
+        else:
+            room = assistant.memory - 1 - (system is not None)
+            last = memory.shared_window(history.select(*message), room, "turn", "conv_id").select("turn", "role", "text")
+            rows = said.select("conv_id").crossJoin(F.broadcast(last)).unionByName(own)  # a memory's rows at most
+        return self._said(rows if system is None else rows.unionByName(system), assistant)
+
+    def _said(self, rows: DataFrame, assistant: Assistant) -> DataFrame:
+        """The messages of each conversation in order, the system's first, the new one last."""
+        order = F.struct((F.col("role") != "system").alias("later"), "turn", "role", "text")
+        listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(order)).alias("all"), F.max("turn").alias("turn"))
+        listed = listed.select("conv_id", "turn", F.transform("all", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"), F.array(*map(F.lit, assistant.tools)).cast("array<string>").alias("tools"))
+        return models.chat(listed, self.model).drop("tools")
+
     def _answered(self, prompts: DataFrame, history: DataFrame | None) -> DataFrame:
         own = F.array(models.message("user", "prompt"))
         if history is not None:

@@ -96,7 +96,7 @@ class Base:
         self.says = says
 
     def _segment(self, docs: DataFrame) -> dict:
-        folder = snapshots.fresh(self.path, "segment")
+        folder = snapshots.fresh("segment")
         write = self._write(folder)
         parents = write(chunking.parents(docs, self.cfg), "parents")
         cut = chunking.children(parents, self.cfg).select("child_id", "parent_id", "doc_id", "text")
@@ -107,7 +107,7 @@ class Base:
     def _without(self, s: dict, ids: DataFrame) -> dict:
         """The segment's entry after the documents of ``ids`` (doc_id) have gone; the entry itself if it has none of them."""
         keys = self._live("children", [s]).join(ids, "doc_id", "left_semi").select("child_id", "doc_id")
-        folder = snapshots.fresh(self.path, "change")
+        folder = snapshots.fresh("change")
         write = self._write(folder)
         keys = write(keys, "keys")
         n = keys.count()
@@ -147,7 +147,7 @@ class Base:
         full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan), None)
         if not full:
             return False
-        folder = snapshots.fresh(self.path, "segment")
+        folder = snapshots.fresh("segment")
         write = self._write(folder)
         write(self._live("parents", full), "parents")
         write(self._live("children", full), "children")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import engine
-from ..config import DEFAULT
+from ..config import ASSISTANTS, DEFAULT
 from ..functions.text import BLANK, SENTENCE, TRIM
 from ..operators import booking, fusion, routing
 from . import fixtures
@@ -66,6 +66,19 @@ def _bm25(items: str, key: str, k: int, queries: str = "(SELECT item_id AS query
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, {key}) AS rank FROM sc) WHERE rank <= {k})"""
 
 
+def _assistant(name: str) -> str:
+    """The prompt of an assistant with a memory per key for each conversation's last user message."""
+    a = ASSISTANTS[name]
+    own = " || text || ".join(_q(x) for x in a.user.split("{{message}}"))
+    others = "role <> 'system'" if a.system else "true"
+    system = f"UNION ALL SELECT conv_id, -1, 'system', {_q(a.system.replace('{{current_date}}', '2025-04-14'))} FROM said" if a.system else ""
+    return f"""WITH said AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    m AS (SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN said USING (conv_id) WHERE c.turn < said.turn AND {others} UNION ALL SELECT conv_id, turn, 'user', {own} FROM said {system}),
+    w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS r, max((role = 'system')::INT) OVER (PARTITION BY conv_id) AS has FROM m),
+    k AS (SELECT * FROM w WHERE CASE WHEN role = 'system' THEN r = 1 ELSE r <= {a.memory} - has END)
+    SELECT conv_id, max(turn) AS turn, count(*)::INT AS n, string_agg(role || ': ' || text, chr(10) ORDER BY role <> 'system', turn) AS prompt FROM k GROUP BY conv_id"""
+
+
 _IDF = "ln(1 + (docs - df + 0.5) / (df + 0.5))"
 _FEEDBACK = f"""{_bm25("documents", "doc_id", DEFAULT.per_retriever)},
     fb AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS share FROM bm WHERE rank <= {DEFAULT.feedback_chunks}),
@@ -184,6 +197,8 @@ ORACLES = {
     "memory_window_10": _window(10),
     "memory_window_20": _window(20),
     "memory_json": "SELECT conv_id, turn, role, text FROM conversations",
+    "assistant_separate": _assistant("separate"),
+    "assistant_friend": _assistant("friend"),
     "memory_upsert": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') UNION ALL SELECT conv_id, turn, role, '[new] ' || text FROM conversations WHERE role = 'system'",
     "store_upsert": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') UNION ALL SELECT conv_id, turn, role, '[new] ' || text FROM conversations WHERE role = 'system'",
     "memory_delete": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",

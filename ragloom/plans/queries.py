@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Config
+from ..config import ASSISTANTS, DEFAULT, Config
 from ..engine import Engine
 from ..functions.text import conversation_id, get_or, hash_embedding, merge_counts, render, tokens
 from ..operators import booking, cells, chunking, fusion, latent, lexical, lookup, memory, models, retrieval, routing, segments
@@ -279,6 +279,21 @@ def _lists(spark, d):
     return turns.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
 
 
+def _last_said(spark, d):
+    """(what each conversation's last user message comes after, that message)."""
+    c = _table(spark, d, "conversations")
+    last = c.where("role = 'user'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("x")).select("conv_id", "x.*")
+    return c.join(last.select("conv_id", F.col("turn").alias("_last")), "conv_id").where("turn < _last").drop("_last"), last
+
+
+def _assistant(name):
+    def query(spark, d):
+        found = Engine(spark).converse(ASSISTANTS[name], *_last_said(spark, d), current_date=F.lit("2025-04-14"))
+        return found.select("conv_id", "turn", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["text"])), "\n").alias("prompt"))
+
+    return query
+
+
 def chat_messages(spark, d):
     """Two calls with the history passed by hand."""
     more = models.reply(_lists(spark, d)).drop("answer").withColumn("messages", F.concat("messages", F.array(models.message("user", F.lit("你知道我是谁吗")))))
@@ -508,4 +523,4 @@ QUERIES = {
         chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
         memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_ingest,
     )
-} | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}
+} | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "assistant_separate": _assistant("separate"), "assistant_friend": _assistant("friend"), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}

@@ -87,19 +87,42 @@ def declared(df: DataFrame, schema: StructType | str) -> DataFrame:
 
 
 def rebuild(df: DataFrame, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Full, idempotent rebuild as a new version of the table at ``path``, in a declared schema if one is given; the rows can be read
-    as soon as it returns. ``df`` may read the version before it, which stays whole if the rebuild fails."""
+    """Full, idempotent rebuild of a plain folder, in a declared schema if one is given; the rows can be read as soon as it returns.
+
+    The rows are written beside the old ones, which are moved away when all are there: ``df`` may read what it replaces, and a rebuild
+    that fails leaves the old rows. Readers that must not see the moment between the two moves use `versioned`.
+    """
+    spark = df.sparkSession
+    df = df if schema is None else declared(df, schema)
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    fs, at = snapshots.at(spark, path)
+    there = fs.exists(at)
+    if there and not fs.rename(at, snapshots.at(spark, old)[1]):
+        raise OSError(f"the rows at {path} can't be moved")
+    if not fs.rename(snapshots.at(spark, new)[1], at):
+        if there:
+            fs.rename(snapshots.at(spark, old)[1], at)
+        raise OSError(f"the new rows can't be moved to {path}")
+    if there:
+        fs.delete(snapshots.at(spark, old)[1], True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def versioned(df: DataFrame, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """`rebuild` as a new version of the table at ``path`` (see `snapshots`); older ones stay readable until they are pruned."""
     spark = df.sparkSession
     df = df if schema is None else declared(df, schema)
     before, _ = snapshots.manifest(spark, path)
-    data = snapshots.fresh(path)
+    data = snapshots.fresh()
     df.write.parquet(f"{path}/{data}")
     snapshots.publish(spark, path, {"data": data, "schema": df.schema.json()}, before)
     return read(spark, path)
 
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The table that `rebuild` wrote, in its last or an older version. FileNotFoundError where there is none."""
+    """The table that `versioned` wrote, in its last or an older version. FileNotFoundError where there is none."""
     _, says = snapshots.manifest(spark, path, version)
     if not says:
         raise FileNotFoundError(f"there is no table at {path}")

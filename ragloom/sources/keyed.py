@@ -52,7 +52,7 @@ class Keyed:
         rows = new if old is None else old.join(touched, self.key, "left_anti")
         rows = rows if old is None or new is None else rows.unionByName(new)
         schema = self._schema() or new.schema
-        data = snapshots.fresh(self.path)
+        data = snapshots.fresh()
         # a bucket goes to several tasks, so that a key of many rows doesn't land in one
         spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in rows.columns)), F.lit(4))
         dealt = rows.select(*schema.names).withColumn(BUCKET.name, self._bucket()).repartition(BUCKET.name, spread)

@@ -18,14 +18,15 @@ class Conflict(RuntimeError):
     """Another writer has published this version."""
 
 
-def _at(spark: SparkSession, path: str):
+def at(spark: SparkSession, path: str):
+    """(file system, path) in Hadoop's terms."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The published versions, oldest first."""
-    fs, p = _at(spark, f"{path}/{FOLDER}")
+    fs, p = at(spark, f"{path}/{FOLDER}")
     names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
@@ -36,7 +37,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> tupl
         version = max(versions(spark, path), default=0)
         if not version:
             return 0, {}
-    fs, p = _at(spark, f"{path}/{FOLDER}/{version:012}.json")
+    fs, p = at(spark, f"{path}/{FOLDER}/{version:012}.json")
     stream = fs.open(p)
     try:
         return version, json.loads(bytes(stream.readAllBytes()))
@@ -46,8 +47,8 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> tupl
 
 def publish(spark: SparkSession, path: str, says: dict, after: int) -> int:
     """Make ``says`` the version that follows ``after``."""
-    fs, p = _at(spark, f"{path}/{FOLDER}/{after + 1:012}.json")
-    _, draft = _at(spark, f"{path}/{FOLDER}/.draft-{uuid.uuid4().hex}")
+    fs, p = at(spark, f"{path}/{FOLDER}/{after + 1:012}.json")
+    _, draft = at(spark, f"{path}/{FOLDER}/.draft-{uuid.uuid4().hex}")
     out = fs.create(draft)
     out.write(json.dumps(says).encode())
     out.close()
@@ -57,8 +58,8 @@ def publish(spark: SparkSession, path: str, says: dict, after: int) -> int:
     return after + 1
 
 
-def fresh(path: str, tag: str = "data") -> str:
-    """A new folder's name below ``path``, relative to it."""
+def fresh(tag: str = "data") -> str:
+    """A new folder's name."""
     return f"{tag}-{uuid.uuid4().hex}"
 
 
@@ -68,9 +69,9 @@ def prune(spark: SparkSession, path: str, keep: int = 2) -> None:
     every = versions(spark, path)
     named = json.dumps([manifest(spark, path, v)[1] for v in every[-keep:]])
     for v in every[:-keep]:
-        fs, p = _at(spark, f"{path}/{FOLDER}/{v:012}.json")
+        fs, p = at(spark, f"{path}/{FOLDER}/{v:012}.json")
         fs.delete(p, False)
-    fs, p = _at(spark, path)
+    fs, p = at(spark, path)
     for f in fs.listStatus(p):
         name = f.getPath().getName()
         if name != FOLDER and f'"{name}' not in named:

@@ -198,3 +198,30 @@ def test_metadata_is_inherited(spark):
 def test_counts_merge(spark):
     row = spark.range(1).select(merge_counts(F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3))).alias("m"))
     assert row.select(get_or(F.col("m"), "a"), get_or(F.col("m"), "b"), get_or(F.col("m"), "c", 7)).first()[:] == (3, 3, 7)
+
+
+def test_assistants(spark):
+    """A memory per key or shared, a system text in place of the stored one, templates, and texts found for the message."""
+    from ragloom.config import ASSISTANTS, Assistant
+
+    rows = [(1, 0, "system", "old"), *((1, t, "user" if t % 2 else "ai", f"1-{t}") for t in range(1, 5)), (2, 0, "user", "2-0")]
+    history = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    said = spark.createDataFrame([(1, 5, "new", "Li"), (3, 7, "first", "Wu")], "conv_id long, turn long, text string, name string")
+    engine = Engine(spark)
+
+    def prompts(assistant, **values):
+        return {r.conv_id: [(m.role, m.text) for m in r.messages] for r in engine.converse(assistant, history, said, **values).collect()}
+
+    got = prompts(Assistant(system="You are {{name}}.", user="<{{message}}>", memory=3), name=F.col("name"))
+    assert got == {1: [("system", "You are Li."), ("ai", "1-4"), ("user", "<new>")], 3: [("system", "You are Wu."), ("user", "<first>")]}
+    assert prompts(Assistant(memory=3))[1] == [("system", "old"), ("ai", "1-4"), ("user", "new")]
+    assert prompts(Assistant(memory=3, memory_per_key=False)) == {1: [("system", "old"), ("ai", "1-4"), ("user", "new")], 3: [("system", "old"), ("ai", "1-4"), ("user", "first")]}
+    assert prompts(Assistant()) == {1: [("user", "new")], 3: [("user", "first")]}
+    assert prompts(ASSISTANTS["friend"])[3] == [("user", "你是我的好朋友，请用粤语回答问题。first")]
+    docs = spark.createDataFrame([(1, "the new door is red", "s")], "doc_id long, text string, source string")
+    engine.ingest(docs)
+    assert "the new door is red" in prompts(ASSISTANTS["main"])[1][-1][1]
+    tools = engine.model
+    engine.model = lambda rows: rows.withColumn("answer", F.array_join("tools", ","))
+    assert {r.answer for r in engine.converse(ASSISTANTS["separate"], history, said).collect()} == {"add,root"}
+    engine.model = tools
