@@ -19,4 +19,4 @@ QUERIES = {
     "op12_vector_dedup": vector_dedup.op12_vector_dedup,
     "op13_golden_records": golden_records.op13_golden_records,
 }
-ORACLES = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op12_vector_dedup": vector_dedup.OP12_SQL, "op13_golden_records": golden_records.OP13_SQL}
+ORACLES = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op12_vector_dedup": vector_dedup.OP12_SQL, "op13_golden_records": golden_records.OP13_SQL}

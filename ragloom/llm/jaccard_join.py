@@ -294,3 +294,14 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 3], ' ') END AS shingle FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM t WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+c AS (SELECT doc_id AS node, doc_id AS root FROM t UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node WHERE c.root < l.b)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, min(c.root) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN c ON c.node = t.doc_id GROUP BY ALL
+"""
