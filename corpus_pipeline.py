@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("substrings", substrings), ("packing", packed)]
-#: A trained classifier and a packing plan aren't expressible in SQL; tests compare the stages with plain Python.
+#: A trained classifier and a packing plan aren't expressible in SQL; tests replay the stages in plain Python.
 ORACLE_SQL = None
 
 
