@@ -231,6 +231,7 @@ ORACLES = {
     "prompt_dated": "SELECT conv_id, turn, text || ' （今天是 2025-04-14）' AS prompt FROM conversations",
     "delta_suffix": "SELECT conv_id, turn, text AS delta FROM conversations",
     "stream_memory_state": _window(4),
+    "stream_memory_timed": _window(4),
     "stream_ingest": f"WITH {CHILDREN} SELECT child_id, parent_id, doc_id, ordinal, text FROM children",
     "prompt_render": "SELECT conv_id, turn, replace(replace(replace(" + _q(fixtures.TEMPLATE) + ", '{{username}}', '用户' || conv_id), '{{age}}', (turn + 18)::VARCHAR), '{{message}}', text) AS prompt FROM conversations",
     "context_prompt": f"WITH {HITS}, {_CTX} SELECT query_id, prompt FROM ctx",

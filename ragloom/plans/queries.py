@@ -13,7 +13,7 @@ from ..engine import Engine
 from ..functions.text import conversation_id, get_or, hash_embedding, merge_counts, render, tokens
 from ..operators import booking, cells, chunking, fusion, latent, lexical, lookup, memory, models, retrieval, routing, segments
 from ..sources import files, keyed
-from ..streaming import state
+from ..streaming import sessions, state
 from . import fixtures
 
 
@@ -507,6 +507,12 @@ def stream_memory_state(spark, d):
     return state.latest(updates, "conv_id").select("conv_id", F.inline("messages"))
 
 
+def stream_memory_timed(spark, d):
+    """`stream_memory_state` by state lists with timers."""
+    kept = sessions.memory_table(state.read_messages(spark, d), 4, f"{files.shared(spark)}/sessions-{uuid.uuid4().hex}", 3_600_000)
+    return kept.select("conv_id", F.inline("messages"))
+
+
 def _doc_stream(spark, d):
     return spark.readStream.schema(_table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
 
@@ -521,6 +527,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
-        memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_ingest,
+        memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_memory_timed, stream_ingest,
     )
 } | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "assistant_separate": _assistant("separate"), "assistant_friend": _assistant("friend"), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}
