@@ -91,7 +91,7 @@ def golden_records(clients: DataFrame, stale_hours: int = STALE_HOURS) -> DataFr
     tmp, out = Scratch(clients.sparkSession), Scratch(clients.sparkSession)
     by = ["client_id", "updated_at", "given"]
     rows = tmp.table(_records(clients), "records")
-    latest = rows.groupBy("cluster_id").agg(F.max("updated_at").alias("latest"))
+    latest = rows.groupBy("cluster_id").agg(F.max("updated_at").alias("latest"), F.count(F.lit(1)).alias("members"))
     fresh = F.coalesce(F.col("updated_at") >= F.col("latest") - F.make_dt_interval(hours=F.lit(stale_hours)), F.lit(False))
     rows = attached(rows, latest, ["cluster_id"], by).withColumn("fresh", fresh)
     filled = F.col("city").isNotNull().cast("int") + F.col("nation_id").isNotNull().cast("int")
@@ -103,7 +103,8 @@ def golden_records(clients: DataFrame, stale_hours: int = STALE_HOURS) -> DataFr
     trusted = [Best("fresh"), Best("trust"), Best("updated_at"), *last]
     orders = {"segment": recent, "email": trusted, "name": [Best("points"), *trusted], "address": [Best("filled"), *recent]}
     marked = rows.withColumns({f"is_{c}": F.col(c).isNotNull() for c in ("segment", "email", "name")} | {"is_address": F.lit(True)})
-    chosen = eliminate(marked, "cluster_id", by, orders, tmp, "fields")
+    alone = F.col("members") == 1  # nothing to eliminate
+    chosen = eliminate(marked.where(~alone), "cluster_id", by, orders, tmp, "fields").unionByName(marked.where(alone))
     take = lambda f, c: F.max(F.when(F.col(f"is_{f}"), F.col(c)))  # noqa: E731  equal in all rows of the field that are left
     best = chosen.groupBy("cluster_id").agg(
         *(x for f in ("name", "email", "segment") for x in (take(f, f).alias(f), take(f, "client_id").alias(f"{f}_from"))),
@@ -113,8 +114,9 @@ def golden_records(clients: DataFrame, stale_hours: int = STALE_HOURS) -> DataFr
 
     holders = rows.where(F.col("balance").isNotNull())
     segments = best.select("cluster_id", F.col("segment").alias("chosen"))
-    marked = attached(holders, segments, ["cluster_id"], by).withColumns({"match": F.col("segment").eqNullSafe(F.col("chosen")), "is_balance": F.lit(True)}).drop("chosen")
-    balances = eliminate(marked, "cluster_id", by, {"balance": [Best("match"), *recent]}, tmp, "balance")
+    single = holders.where(alone).withColumns({"match": F.lit(True), "is_balance": F.lit(True)})
+    marked = attached(holders.where(~alone), segments, ["cluster_id"], by).withColumns({"match": F.col("segment").eqNullSafe(F.col("chosen")), "is_balance": F.lit(True)}).drop("chosen")
+    balances = eliminate(marked, "cluster_id", by, {"balance": [Best("match"), *recent]}, tmp, "balance").unionByName(single)
     balances = out.table(balances.groupBy("cluster_id").agg(take("balance", "balance").alias("balance"), take("balance", "client_id").alias("balance_from")), "balances")
     counts = out.table(counts, "counts")
     tmp.drop()
