@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["username", "idCard", "department", "date", "time"]
@@ -12,8 +12,8 @@ KEY = ["username", "idCard", "department", "date", "time"]
 BOOKED, TAKEN, CANCELLED, NOT_FOUND = "预约成功，并返回预约详情", "您在相同的科室和时间已有预约", "取消预约成功", "您没有预约记录，请核对预约科室和时间"
 
 
-def _same(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in KEY))
+def _whole() -> Column:
+    return reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in KEY))
 
 
 def find(table: DataFrame, **key) -> DataFrame:
@@ -22,11 +22,10 @@ def find(table: DataFrame, **key) -> DataFrame:
 
 def book(table: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new table, message of each request). Of requests for one slot the first (by request_id, which is 1 or more) gets it; its
-    id is the largest one so far plus its request_id."""
-    whole = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in KEY))
-    turn = F.when(whole, F.row_number().over(Window.partitionBy(*KEY).orderBy("request_id"))).otherwise(1)
-    asked = requests.withColumn("_turn", turn)
-    free = asked.alias("r").where("_turn = 1").join(table.alias("t"), _same("r", "t"), "left_anti").select("request_id", *KEY, "doctorName")
+    id is the largest one so far plus its request_id. Requests are cut down to one a slot before they meet the table."""
+    slots = requests.where(_whole()).groupBy(*KEY).agg(F.min(F.struct("request_id", "doctorName")).alias("first"))
+    free = slots.join(table.select(*KEY), KEY, "left_anti").select("first.request_id", *KEY, "first.doctorName")
+    free = free.unionByName(requests.where(~_whole()).select(free.columns))
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     fresh = free.crossJoin(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("request_id"))
     messages = requests.select("request_id").join(free.select("request_id", F.lit(BOOKED).alias("m")), "request_id", "left").select("request_id", F.coalesce("m", F.lit(TAKEN)).alias("message"))
@@ -35,7 +34,8 @@ def book(table: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cancel(table: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table without the bookings found, message of each request). One booking goes for a request, the one of the smallest id."""
-    hit = requests.alias("r").join(table.alias("t"), _same("r", "t")).groupBy("r.request_id").agg(F.min("t.id").alias("id"))
+    held = table.where(_whole()).groupBy(*KEY).agg(F.min("id").alias("id"))  # one row a slot, so that a request meets one at most
+    hit = requests.join(held, KEY).groupBy("request_id").agg(F.min("id").alias("id"))
     rest = table.join(hit.select("id").distinct(), "id", "left_anti").select(table.columns)
     return rest, requests.select("request_id").join(hit, "request_id", "left").select("request_id", F.when(F.col("id").isNotNull(), CANCELLED).otherwise(NOT_FOUND).alias("message"))
 

@@ -26,6 +26,8 @@ ROUTES = [
     ("宝宝最近总是半夜发烧咳嗽应该去看什么科室呢", S),
     ("我要做一个全身体检同时还想咨询一下失眠的治疗方案", A),
 ]
+#: The first sentence of a text, without its mark.
+FIRST = r"[^.!?\n]*"
 BOOKING = "id long, username string, idCard string, department string, date string, time string, doctorName string"
 BOOKINGS = [
     (1, "张三", "123456789012345678", "内科", "2025-04-14", "上午", "张医生"),

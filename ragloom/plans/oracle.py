@@ -145,11 +145,14 @@ def _route(source: str, keep: str, rest: str) -> str:
 
 
 _CLOSED = f"['{routing.SIMPLE}', '规则未命中且LLM兜底已关闭']"
-_CASES = "(VALUES " + ", ".join(f"({_q(t)}, {_q(e)})" for t, e in fixtures.ROUTES) + ") v(text, expected)"
+_LABELLED = "[" + ", ".join(f"{{'text': {_q(t)}, 'expected': {_q(e)}}}" for t, e in fixtures.ROUTES) + "]"
+_CASES = f"(SELECT conv_id, turn, labelled.text || ' ' || regexp_extract(said, '{fixtures.FIRST}') AS text, labelled.expected AS expected FROM (SELECT conv_id, turn, text AS said, {_LABELLED}[(conv_id * 7 + turn) % {len(fixtures.ROUTES)} + 1] AS labelled FROM conversations WHERE role = 'user'))"
+_ANSWERED = f"CASE length(text) % 3 WHEN 0 THEN ['{routing.AGENTIC}', 'LLM·complex'] WHEN 1 THEN ['{routing.SIMPLE}', 'LLM·SIMPLE'] ELSE ['{routing.SIMPLE}', 'LLM·空响应降级'] END"
+_FAILED = f"CASE WHEN length(trim(text)) % 2 = 0 THEN ['{routing.AGENTIC}', 'LLM·COMPLEX'] ELSE ['{routing.SIMPLE}', 'LLM分类失败降级'] END"
 _USER = _route("(SELECT * FROM conversations WHERE role = 'user')", "conv_id, turn", _CLOSED)
 _ROW = "id, username, idCard, department, date, time, doctorName"
-_BOOK = "b AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _q(x) for x in r) + ")" for r in fixtures.BOOKINGS) + f") v({_ROW}))"
-_REQ = "r AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _q(x) for x in r) + ")" for r in fixtures.REQUESTS) + f") v(request_id, {_ROW.removeprefix('id, ')}))"
+_SLOT = "SELECT o_orderkey + 1 AS {}, 'c' || o_custkey AS username, lpad(o_custkey::VARCHAR, 18, '0') AS idCard, o_orderpriority AS department, year(o_orderdate)::VARCHAR AS date, CASE WHEN o_orderkey % 2 = 0 THEN '上午' ELSE '下午' END AS time, 'd' || (o_orderkey % 17)::VARCHAR AS doctorName FROM orders WHERE o_orderstatus {} 'O'"
+_BOOK, _REQ = f"b AS ({_SLOT.format('id', '<>')})", f"r AS ({_SLOT.format('request_id', '=')})"
 _SAME = " AND ".join(f"r.{k} = b.{k}" for k in booking.KEY)
 _FREE = f"{_BOOK}, {_REQ}, f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_SAME}) AND NOT EXISTS (SELECT 1 FROM r e WHERE e.request_id < r.request_id AND {_SAME.replace('b.', 'e.')}))"
 _HIT = f"{_BOOK}, {_REQ}, h AS (SELECT request_id, min(b.id) AS id FROM r JOIN b ON {_SAME} GROUP BY request_id)"
@@ -190,9 +193,9 @@ ORACLES = {
     "cells_exact_top20": _knn_sql(20),
     "route_rules": f"SELECT * FROM {_USER}",
     "route_reason_counts": f"SELECT route, reason, count(*) AS n FROM {_USER} GROUP BY ALL",
-    "route_eval": f"SELECT question, expected, route, reason FROM {_route(_CASES, 'text AS question, expected', chr(91) + _q('open') + ', ' + _q('open') + chr(93))}",
-    "rule_hit_rate": f"SELECT count(*) AS cases, round(avg((route = expected)::INT), 6) AS accuracy, round(avg(starts_with(reason, '规则')::INT), 6) AS rule_hit_rate FROM {_route(_CASES, 'text AS question, expected', _CLOSED)}",
-    "route_fallback": "SELECT question, route, reason FROM " + _route(_CASES, "text AS question", f"CASE WHEN contains(text, '同时') THEN ['{routing.AGENTIC}', 'LLM·complex'] WHEN contains(text, '宝宝') THEN ['{routing.SIMPLE}', 'LLM·空响应降级'] ELSE ['{routing.SIMPLE}', 'LLM·SIMPLE'] END"),
+    "route_eval": f"SELECT conv_id, turn, expected, route, reason FROM {_route(_CASES, 'conv_id, turn, expected', chr(91) + _q('open') + ', ' + _q('open') + chr(93))}",
+    "rule_hit_rate": f"SELECT count(*) AS cases, round(avg((route = expected)::INT), 6) AS accuracy, round(avg(starts_with(reason, '规则')::INT), 6) AS rule_hit_rate FROM {_route(_CASES, 'expected', _CLOSED)}",
+    "route_fallback": f"SELECT conv_id, turn, route, reason FROM {_route(_CASES, 'conv_id, turn', _ANSWERED)}",
     "memory_window_4": _window(4),
     "memory_window_10": _window(10),
     "memory_window_20": _window(20),
@@ -225,7 +228,7 @@ ORACLES = {
     "ask_agentic_off": f"SELECT item_id AS query_id, text AS prompt, {_q(engine.DISABLED)} AS answer FROM benchmark",
     "chat_messages": "SELECT conv_id, count(*) + 2 AS n, '[' || (count(*) + 2) || '] 你知道我是谁吗' AS answer FROM conversations GROUP BY conv_id",
     "chat_stream": "WITH a AS (SELECT conv_id, '[' || count(*) || '] ' || last(text ORDER BY turn) FILTER (role = 'user') AS answer FROM conversations GROUP BY conv_id), n AS (SELECT *, unnest(generate_series(0, greatest((length(answer) + 7) // 8, 1) - 1)) AS part FROM a WHERE answer IS NOT NULL) SELECT conv_id, part::INT AS part, substr(answer, part * 8 + 1, 8) AS delta FROM n",
-    "route_failed": "SELECT question, route, reason FROM " + _route(_CASES, "text AS question", f"CASE WHEN contains(text, '同时') THEN ['{routing.AGENTIC}', 'LLM·COMPLEX'] ELSE ['{routing.SIMPLE}', 'LLM分类失败降级'] END"),
+    "route_failed": f"SELECT conv_id, turn, route, reason FROM {_route(_CASES, 'conv_id, turn', _FAILED)}",
     "memory_shared": f"WITH s AS (SELECT * FROM conversations WHERE role = 'system' ORDER BY turn DESC, conv_id DESC LIMIT 1), o AS (SELECT * FROM conversations WHERE role <> 'system' ORDER BY turn DESC, conv_id DESC LIMIT {DEFAULT.memory_small - 1}) SELECT conv_id, turn, role, text FROM s UNION ALL SELECT conv_id, turn, role, text FROM o",
     "stats_merge": "SELECT conv_id, (CASE WHEN u > 1 THEN u ELSE 0 END)::INT AS n_user, (n + 1)::INT AS n_all, u::INT AS n_more, 0 AS n_none FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) AS n FROM conversations GROUP BY conv_id)",
     "prompt_dated": "SELECT conv_id, turn, text || ' （今天是 2025-04-14）' AS prompt FROM conversations",
@@ -238,7 +241,7 @@ ORACLES = {
     "conv_id_from_uuid": "SELECT page_id, ('0x' || substr(md5(url), 1, 6))::BIGINT % 1000000 AS conv_id FROM pages",
     "delta_text": "SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations",
     "recall_at_3": f"WITH {HITS}, truth AS (SELECT item_id AS query_id, doc_id::VARCHAR AS want FROM documents, benchmark WHERE contains(documents.text, benchmark.text)), hit AS (SELECT DISTINCT query_id FROM (SELECT query_id, split_part(chunk_id, '#', 1) AS want FROM top3) JOIN truth USING (query_id, want)) SELECT count(*) AS cases, round(avg((query_id IN (SELECT query_id FROM hit))::INT), 6) AS recall FROM (SELECT DISTINCT query_id FROM truth)",
-    "scan_text_dir": "SELECT * FROM (VALUES ('a.txt', 11, 'a.txt'), ('b.md', 14, 'b.md'), ('d.txt', 7, 'd.txt')) v(doc_id, n_chars, source)",
-    "scan_binary_dir": "SELECT name, length::BIGINT AS length FROM (VALUES ('a.txt', 11), ('b.md', 14), ('c.csv', 2), ('d.txt', 7)) v(name, length)",
+    "scan_text_dir": "SELECT doc_id, length(text)::INT AS n_chars, md5(text) AS text_md5, 'txt' AS suffix FROM documents",
+    "scan_binary_dir": "SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, sum(length(doc_id::VARCHAR) + 1 + coalesce(length(base64(encode(text))) + 1, 0))::BIGINT AS bytes FROM documents GROUP BY 1",
     "put_last_write": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
 }

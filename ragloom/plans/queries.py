@@ -317,30 +317,40 @@ def route_reason_counts(spark, d):
     return route_rules(spark, d).groupBy("route", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _cases(spark, d):
+    """A labelled question before the first sentence of every user message: conv_id, turn, text, expected."""
+    cases = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(e).alias("expected")) for t, e in fixtures.ROUTES))
+    case = F.get(cases, F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(fixtures.ROUTES))).cast("int"))
+    said = _user_turns(spark, d).withColumn("case", case)
+    return said.select("conv_id", "turn", F.concat("case.text", F.lit(" "), F.regexp_extract("text", fixtures.FIRST, 0)).alias("text"), "case.expected")
+
+
 def route_eval(spark, d):
-    q = _values(spark, fixtures.ROUTES, "text string, expected string")
-    return routing.rules(q).select(F.col("text").alias("question"), "expected", F.coalesce("route", F.lit("open")).alias("route"), F.coalesce("reason", F.lit("open")).alias("reason"))
+    return routing.rules(_cases(spark, d)).select("conv_id", "turn", "expected", F.coalesce("route", F.lit("open")).alias("route"), F.coalesce("reason", F.lit("open")).alias("reason"))
 
 
 def rule_hit_rate(spark, d):
-    return routing.accuracy(routing.decide(_values(spark, fixtures.ROUTES, "text string, expected string"), cfg=Config(llm_fallback=False)))
+    return routing.accuracy(routing.decide(_cases(spark, d), cfg=Config(llm_fallback=False)))
 
 
 def route_fallback(spark, d):
+    """A classifier that says nothing to some of the questions that the rules leave open."""
+
     def ask(rows):
-        return rows.withColumns({"answer": F.when(F.col("text").contains("同时"), " complex ").when(F.col("text").contains("宝宝"), F.lit(None)).otherwise("SIMPLE"), "failed": F.lit(False)})
+        n = F.length("text") % 3
+        return rows.withColumns({"answer": F.when(n == 0, " complex ").when(n == 1, "SIMPLE"), "failed": F.lit(False)})
 
-    return routing.decide(_values(spark, fixtures.ROUTES, "text string, expected string"), ask).select(F.col("text").alias("question"), "route", "reason")
+    return routing.decide(_cases(spark, d), ask).select("conv_id", "turn", "route", "reason")
 
 
 def route_failed(spark, d):
-    """A chat model behind the classifier that fails for one question."""
+    """A chat model behind the classifier that fails for half of the questions."""
 
     def model(rows):
-        hard = F.col("messages")[0]["text"].contains("同时")
+        hard = F.length(F.col("messages")[0]["text"]) % 2 == len(models.CLASSIFY) % 2
         return rows.withColumns({"answer": F.when(hard, "COMPLEX"), "error": F.when(~hard, "timeout")})
 
-    return routing.decide(_values(spark, fixtures.ROUTES, "text string, expected string"), models.classifier(model)).select(F.col("text").alias("question"), "route", "reason")
+    return routing.decide(_cases(spark, d), models.classifier(model)).select("conv_id", "turn", "route", "reason")
 
 
 # memory
@@ -390,28 +400,33 @@ def memory_shared(spark, d):
 
 
 # tools
-def _bookings(spark):
-    return _values(spark, fixtures.BOOKINGS, fixtures.BOOKING), _values(spark, fixtures.REQUESTS, "request_id long, " + fixtures.BOOKING.removeprefix("id long, "))
+def _bookings(spark, d):
+    """(bookings, requests): orders that are done and orders that are open, as slots of a customer, a priority, a year and half a day."""
+    o = _table(spark, d, "orders")
+    who = F.col("o_custkey").cast("string")
+    slot = {"username": F.concat(F.lit("c"), who), "idCard": F.lpad(who, 18, "0"), "department": F.col("o_orderpriority"), "date": F.year("o_orderdate").cast("string"), "time": F.when(F.col("o_orderkey") % 2 == 0, "上午").otherwise("下午"), "doctorName": F.concat(F.lit("d"), (F.col("o_orderkey") % 17).cast("string"))}
+    rows = o.select((F.col("o_orderkey") + 1).alias("id"), "o_orderstatus", *(c.alias(name) for name, c in slot.items()))
+    return rows.where("o_orderstatus <> 'O'").drop("o_orderstatus"), rows.where("o_orderstatus = 'O'").drop("o_orderstatus").withColumnRenamed("id", "request_id")
 
 
 def booking_insert_if_absent(spark, d):
-    return booking.book(*_bookings(spark))[0]
+    return booking.book(*_bookings(spark, d))[0]
 
 
 def booking_messages(spark, d):
-    return booking.book(*_bookings(spark))[1]
+    return booking.book(*_bookings(spark, d))[1]
 
 
 def booking_cancel(spark, d):
-    return booking.cancel(*_bookings(spark))[0]
+    return booking.cancel(*_bookings(spark, d))[0]
 
 
 def cancel_messages(spark, d):
-    return booking.cancel(*_bookings(spark))[1]
+    return booking.cancel(*_bookings(spark, d))[1]
 
 
 def booking_available(spark, d):
-    return booking.available(_bookings(spark)[1]).select("request_id", "available")
+    return booking.available(_bookings(spark, d)[1]).select("request_id", "available")
 
 
 def calc_tools(spark, d):
@@ -478,23 +493,27 @@ def recall_at_3(spark, d):
 
 
 # files and streams
-def _folder(spark):
-    """The fixture's files, in the folder that all executors share."""
+def _folder(spark, d):
+    """The documents as files of lines (doc_id, text in base 64), one folder a language, in the folder that all executors share."""
     path = f"{files.shared(spark)}/files-{uuid.uuid4().hex}"
-    for name, text in fixtures.FILES:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-        out.write(text.encode())
-        out.close()
+    coded = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))  # on one line
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), coded)
+    _table(spark, d, "documents").select("lang", line.alias("line")).write.partitionBy("lang").option("maxRecordsPerFile", 100).text(path)
     return path
 
 
 def scan_text_dir(spark, d):
-    return files.text_dir(spark, _folder(spark)).select("doc_id", F.length("text").alias("n_chars"), "source")
+    """What was written, read from whole files."""
+    line = F.split("line", "\t")
+    lines = files.text_dir(spark, _folder(spark, d)).select("source", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    said = lines.select(line[0].cast("long").alias("doc_id"), F.decode(F.unbase64(F.get(line, F.lit(1))), "UTF-8").alias("text"), "source")
+    return said.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.element_at(F.split("source", r"\."), -1).alias("suffix"))
 
 
 def scan_binary_dir(spark, d):
-    return files.binary_dir(spark, _folder(spark)).select("name", "length")
+    """Bytes of each language's files, by a listing."""
+    found = files.binary_dir(spark, _folder(spark, d), "*.txt")
+    return found.groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
 
 
 def put_last_write(spark, d):

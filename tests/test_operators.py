@@ -1,5 +1,7 @@
 """Edge cases by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,26 @@ def test_bookings(spark):
     assert sorted(r.id for r in rest.collect()) == [3, 4] and {r.request_id for r in said.where("message = '取消预约成功'").collect()} == {1, 5}
 
 
+def test_bookings_of_a_hot_slot_against_a_loop(spark):
+    rng = random.Random(5)
+    slot = lambda: (rng.choice(["a", "a", "a", "b", None]), "1", rng.choice(["x", "y"]), "2025", "am")
+    table = [(i, *slot(), None) for i in range(1, 15)]
+    asked = [(i, *slot(), rng.choice(["d", None])) for i in range(1, 40)]
+    left, out, gone = list(table), {}, {}
+    for r in asked:
+        free = None in r[1:6] or all(r[1:6] != t[1:6] for t in left)
+        out[r[0]] = booking.BOOKED if free else booking.TAKEN
+        left += [(14 + r[0], *r[1:])] if free else []
+        gone[r[0]] = min((t[0] for t in table if None not in t[1:6] and t[1:6] == r[1:6]), default=None)
+    t, q = spark.createDataFrame(table, fixtures.BOOKING), spark.createDataFrame(asked, "request_id long, " + fixtures.BOOKING.removeprefix("id long, "))
+    new, said = booking.book(t, q)
+    assert sorted(tuple(r) for r in new.collect()) == sorted(left) and dict(map(tuple, said.collect())) == out
+    rest, said = booking.cancel(t, q)
+    assert {r.id for r in rest.collect()} == {r[0] for r in table} - set(gone.values())
+    assert {i: m == booking.CANCELLED for i, m in map(tuple, said.collect())} == {i: x is not None for i, x in gone.items()}
+    assert booking.book(t.limit(0), q.limit(0))[0].collect() == [] and booking.cancel(t.limit(0), q)[1].where("message = '取消预约成功'").count() == 0
+
+
 def test_streams_and_files(spark, tmp_path):
     fixtures.write_files(str(tmp_path / "f"))
     assert {r.doc_id for r in files.text_dir(spark, str(tmp_path / "f"), recursive=False).collect()} == {"a.txt", "b.md"}
