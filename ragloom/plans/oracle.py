@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import engine
 from ..config import ASSISTANTS, DEFAULT
 from ..functions.text import BLANK, SENTENCE, TRIM
-from ..operators import booking, fusion, routing
+from ..operators import booking, fusion, proximity, routing
 from . import fixtures
 
 
@@ -128,6 +128,22 @@ def _hits(queries: str = _ONE) -> str:
     part3 AS (SELECT * FROM (SELECT query_id, parent_id AS chunk_id, pscore AS score, row_number() OVER (PARTITION BY query_id ORDER BY pscore DESC NULLS LAST, position, parent_id) AS rank FROM pany WHERE scored = 0 OR dup = 1 AND pscore IS NOT NULL) WHERE rank <= {DEFAULT.top_parents})"""
 
 
+def _near(toks: str, gap: int) -> str:
+    """Distinct pairs of words, the second 1 to ``gap`` words after the first."""
+    return f"list_distinct(flatten(list_transform(generate_series(1, {gap}), lambda g: list_transform(generate_series(1, len({toks}) - g), lambda i: {toks}[i] || ' ' || {toks}[i + g]))))"
+
+
+def _share(n: str, of: str) -> str:
+    return f"CASE WHEN len({of}) > 0 THEN round({n} / len({of}), 6) ELSE 0.0 END"
+
+
+_STRETCH = f"list_max(list_transform(b, lambda x, i: CASE WHEN list_contains(qd, x) THEN len(list_intersect(b[i:i + {proximity.SPAN - 1}], qd)) ELSE 0 END))"
+PLACES = f"""pw AS (SELECT found.*, {_toks("benchmark.text")} AS a, {_toks("found.text")} AS b FROM found JOIN benchmark ON query_id = item_id),
+    pp AS (SELECT *, list_distinct(a) AS qd, {_near("a", 1)} AS qp, {_near("b", 1)} AS t1, {_near("b", proximity.NEAR)} AS tn FROM pw),
+    places AS (SELECT query_id, parent_id, text, doc_id, source, position, {_share("len(list_intersect(qd, b))", "qd")} AS covered, {_share("len(list_intersect(qp, t1))", "qp")} AS adjacent,
+      {_share("len(list_intersect(qp, tn))", "qp")} AS near, {_share(f"coalesce({_STRETCH}, 0)", "qd")} AS tight, {_share("len(list_intersect(qd, b))", "list_distinct(list_concat(a, b))")} AS overlap FROM pp),
+    ps AS (SELECT *, round(0.2::DOUBLE * covered + 0.2::DOUBLE * adjacent + 0.2::DOUBLE * near + 0.2::DOUBLE * tight + 0.2::DOUBLE * overlap, 6) AS score, row_number() OVER (PARTITION BY query_id, text, doc_id, source ORDER BY position, parent_id) AS dup FROM places),
+    ptop AS (SELECT query_id, parent_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position, parent_id) AS rank FROM ps WHERE dup = 1)"""
 HITS, HITS2 = _hits(), _hits(_TWO)
 _FOUND = f"SELECT query_id, string_agg('[来源：' || coalesce(doc_id::VARCHAR, '未知') || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM tn JOIN children USING (child_id) GROUP BY query_id"
 TOOL = f"{_knn(_QE, _CE, 'child_id', DEFAULT.tool_k, p='t')}, tool AS (SELECT item_id AS query_id, coalesce(answer, {_q(fusion.NO_MATCH)}) AS answer FROM benchmark LEFT JOIN ({_FOUND}) ON item_id = query_id)"
@@ -184,6 +200,8 @@ ORACLES = {
     "rrf_top8": f"WITH {HITS} SELECT query_id, rank, child_id, score FROM best",
     "parent_expand": f"WITH {HITS} SELECT query_id, parent_id, position, doc_id FROM found",
     "rerank_top3": f"WITH {HITS} SELECT query_id, rank, chunk_id, score FROM top3",
+    "rerank_features": f"WITH {HITS}, {PLACES} SELECT query_id, parent_id, covered, adjacent, near, tight, overlap FROM places",
+    "proximity_top3": f"WITH {HITS}, {PLACES} SELECT query_id, rank, chunk_id, score FROM ptop WHERE rank <= {DEFAULT.top_parents}",
     "rerank_off_top3": f"WITH {HITS} SELECT query_id, rank, chunk_id FROM off3",
     "fallback_children": f"WITH {HITS} SELECT query_id, rank, child_id AS chunk_id, 'child' AS kind FROM best",
     "rrf_retrieve": (_RETRIEVE := f"WITH {HITS} SELECT query_id, rank, chunk_id, text, score, kind FROM aug"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ASSISTANTS, DEFAULT, Config
 from ..engine import Engine
 from ..functions.text import conversation_id, get_or, hash_embedding, merge_counts, render, tokens
-from ..operators import booking, cells, chunking, fusion, latent, lexical, lookup, memory, models, retrieval, routing, segments
+from ..operators import booking, cells, chunking, fusion, latent, lexical, lookup, memory, models, proximity, retrieval, routing, segments
 from ..sources import files, keyed
 from ..streaming import sessions, state
 from . import fixtures
@@ -184,6 +184,39 @@ def rerank_off_top3(spark, d):
     return _augment(spark, d, Config(rerank=False)).where("kind = 'parent'").select("query_id", "rank", "chunk_id")
 
 
+def _candidates(spark, d):
+    """The parents found for each question, before reranking."""
+    return fusion.expand_parents(fusion.top_children(fusion.rrf(_hits(spark, d))), _engine(spark, d).parents)
+
+
+def rerank_features(spark, d):
+    asked = _questions(spark, d).select("query_id", F.col("text").alias("question"))
+    f = proximity.features("question", "text")
+    return _candidates(spark, d).join(asked, "query_id").select("query_id", "parent_id", f.alias("f")).select("query_id", "parent_id", *(F.col("f")[i].alias(n) for i, n in enumerate(proximity.NAMES)))
+
+
+def proximity_top3(spark, d):
+    """Reranked by the features with equal weights."""
+    return _augment(spark, d, scorer=proximity.Proximity().score).where("kind = 'parent'").select("query_id", "rank", "chunk_id", "score")
+
+
+def rerank_recall(spark, d):
+    """Of the right documents among the candidates of questions that weren't learnt from, how many stay among the three: by token
+    overlap and by learned weights."""
+    q, docs = _questions(spark, d), _table(spark, d, "documents")
+    truth = files.index(lookup.contained(q, docs).select("query_id", F.col("doc_id").cast("string").alias("doc_id")), "truth")
+    found = files.index(_candidates(spark, d), "candidates")
+    fold = F.crc32(F.col("query_id").cast("string")) % 2
+    model = proximity.learn(found.where(fold == 0), q, truth)
+    held = found.where(fold == 1)
+    ways = None
+    for way, scorer in (("overlap", fusion.overlap_score), ("proximity", model.score)):
+        kept = fusion.rerank(held, q, scorer=scorer).select(F.lit(way).alias("way"), "query_id", F.col("doc_id").cast("string").alias("doc_id"), "rank")
+        ways = kept if ways is None else ways.unionByName(kept)
+    hits = ways.join(truth, ["query_id", "doc_id"], "left_semi").select("way", "query_id", "rank")
+    return hits.groupBy("way").agg(F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("hits"), F.round(F.sum(1 / F.col("rank")), 6).alias("reciprocal_ranks"))
+
+
 def rerank_partial(spark, d):
     """A scorer that gives no score to some texts and fails for some questions."""
 
@@ -545,7 +578,7 @@ def stream_ingest(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
+        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_features, proximity_top3, rerank_recall, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
         memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_memory_timed, stream_ingest,
     )
 } | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "assistant_separate": _assistant("separate"), "assistant_friend": _assistant("friend"), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}
