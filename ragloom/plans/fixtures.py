@@ -28,6 +28,8 @@ ROUTES = [
 ]
 #: The first sentence of a text, without its mark.
 FIRST = r"[^.!?\n]*"
+#: A similarity that only some questions' chunks reach.
+NEAR = 0.9
 BOOKING = "id long, username string, idCard string, department string, date string, time string, doctorName string"
 BOOKINGS = [
     (1, "张三", "123456789012345678", "内科", "2025-04-14", "上午", "张医生"),

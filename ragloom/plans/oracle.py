@@ -146,7 +146,13 @@ PLACES = f"""pw AS (SELECT found.*, {_toks("benchmark.text")} AS a, {_toks("foun
     ptop AS (SELECT query_id, parent_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position, parent_id) AS rank FROM ps WHERE dup = 1)"""
 HITS, HITS2 = _hits(), _hits(_TWO)
 _FOUND = f"SELECT query_id, string_agg('[来源：' || coalesce(doc_id::VARCHAR, '未知') || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM tn JOIN children USING (child_id) GROUP BY query_id"
-TOOL = f"{_knn(_QE, _CE, 'child_id', DEFAULT.tool_k, p='t')}, tool AS (SELECT item_id AS query_id, coalesce(answer, {_q(fusion.NO_MATCH)}) AS answer FROM benchmark LEFT JOIN ({_FOUND}) ON item_id = query_id)"
+
+
+def _tool(min_score: float) -> str:
+    return f"{_knn(_QE, _CE, 'child_id', DEFAULT.tool_k, min_score, 't')}, tool AS (SELECT item_id AS query_id, coalesce(answer, {_q(fusion.NO_MATCH)}) AS answer FROM benchmark LEFT JOIN ({_FOUND}) ON item_id = query_id)"
+
+
+TOOL, TOOL_NEAR = _tool(DEFAULT.min_score), _tool(fixtures.NEAR)
 _CTX = f"ctx AS (SELECT item_id AS query_id, benchmark.text || coalesce({_q(fusion.INJECT)} || ctx, '') AS prompt FROM benchmark LEFT JOIN (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS ctx FROM aug GROUP BY query_id) ON item_id = query_id)"
 _AGENT = f"agent AS (SELECT query_id, text || {_q(fusion.INJECT)} || answer AS prompt FROM tool JOIN benchmark ON item_id = query_id)"
 
@@ -174,6 +180,10 @@ _FREE = f"{_BOOK}, {_REQ}, f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM
 _HIT = f"{_BOOK}, {_REQ}, h AS (SELECT request_id, min(b.id) AS id FROM r JOIN b ON {_SAME} GROUP BY request_id)"
 
 
+_GUARDED = f"(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN chr(9) || chr(12288) || ' ' WHEN 2 THEN chr(9) || '  ' || substr(text, 1, {DEFAULT.simple_max_chars}) || ' ' || chr(10) ELSE text END AS text FROM conversations)"
+_BOTH = f"(SELECT conv_id, turn, '我想预约，' || text AS text FROM {_CASES})"
+
+
 def _window(n: int) -> str:
     return f"""SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS rn, max((role = 'system')::INT) OVER (PARTITION BY conv_id) AS has FROM conversations)
     WHERE CASE WHEN role = 'system' THEN rn = 1 ELSE rn <= {n} - has END"""
@@ -214,6 +224,20 @@ ORACLES = {
     "route_eval": f"SELECT conv_id, turn, expected, route, reason FROM {_route(_CASES, 'conv_id, turn, expected', chr(91) + _q('open') + ', ' + _q('open') + chr(93))}",
     "rule_hit_rate": f"SELECT count(*) AS cases, round(avg((route = expected)::INT), 6) AS accuracy, round(avg(starts_with(reason, '规则')::INT), 6) AS rule_hit_rate FROM {_route(_CASES, 'expected', _CLOSED)}",
     "route_fallback": f"SELECT conv_id, turn, route, reason FROM {_route(_CASES, 'conv_id, turn', _ANSWERED)}",
+    "route_disabled": f"SELECT conv_id, turn, '{routing.SIMPLE}' AS route, '路由已关闭' AS reason FROM {_CASES}",
+    "route_guard": f"SELECT conv_id, turn, route, reason FROM {_route(_GUARDED, 'conv_id, turn', _CLOSED)}",
+    "route_order": f"SELECT conv_id, turn, route, reason FROM {_route(_BOTH, 'conv_id, turn', 'NULL')} WHERE route IS NOT NULL",
+    "memory_read": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 1",
+    "store_read": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 1",
+    "booking_find": f"WITH {_BOOK} SELECT {', '.join(booking.KEY)} FROM b WHERE id = (SELECT min(id) FROM b)",
+    "search_no_match": f"WITH {CHILDREN}, {TOOL_NEAR} SELECT query_id, answer FROM tool",
+    "expand_orphans": f"WITH {HITS} SELECT query_id, parent_id, min(rank) AS position, parents.doc_id FROM best JOIN parents USING (parent_id) WHERE rank % 3 > 0 GROUP BY ALL",
+    "scan_flat_dir": "SELECT doc_id FROM documents WHERE lang = 'en'",
+    "find_row": "SELECT * FROM orders WHERE o_orderkey = 7",
+    "declared_table": "SELECT doc_id::VARCHAR AS doc_id, text, NULL::VARCHAR AS source, n_chars::DOUBLE AS n_chars FROM documents",
+    "append_rows": "SELECT conv_id, turn, role, text FROM conversations",
+    "append_vectors": _knn_sql(20),
+    "knn_in_memory": _knn_sql(20),
     "memory_window_4": _window(4),
     "memory_window_10": _window(10),
     "memory_window_20": _window(20),

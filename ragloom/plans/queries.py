@@ -171,6 +171,12 @@ def parent_expand(spark, d):
     return fusion.expand_parents(fusion.top_children(fusion.rrf(_hits(spark, d))), _engine(spark, d).parents).select("query_id", "parent_id", "position", "doc_id")
 
 
+def expand_orphans(spark, d):
+    """Every third chunk found names no parent."""
+    best = fusion.top_children(fusion.rrf(_hits(spark, d))).withColumn("parent_id", F.when(F.col("rank") % 3 > 0, F.col("parent_id")))
+    return fusion.expand_parents(best, _engine(spark, d).parents).select("query_id", "parent_id", "position", "doc_id")
+
+
 def _augment(spark, d, cfg: Config = DEFAULT, parents=None, scorer=fusion.overlap_score):
     p = _engine(spark, d).parents if parents is None else parents
     return fusion.augment(fusion.top_children(fusion.rrf(_hits(spark, d))), p, _questions(spark, d), cfg, scorer)
@@ -386,6 +392,22 @@ def route_failed(spark, d):
     return routing.decide(_cases(spark, d), models.classifier(model)).select("conv_id", "turn", "route", "reason")
 
 
+def route_disabled(spark, d):
+    return routing.decide(_cases(spark, d), cfg=Config(router_enabled=False)).select("conv_id", "turn", "route", "reason")
+
+
+def route_guard(spark, d):
+    """Messages that are null, blank, or have blanks around a few of their characters, which don't count."""
+    kind, text = F.col("turn") % 4, F.substring("text", 1, DEFAULT.simple_max_chars)
+    some = F.when(kind == 0, F.lit(None)).when(kind == 1, "\t\u3000 ").when(kind == 2, F.concat(F.lit("\t  "), text, F.lit(" \n"))).otherwise(F.col("text"))
+    return routing.decide(_table(spark, d, "conversations").withColumn("text", some), cfg=Config(llm_fallback=False)).select("conv_id", "turn", "route", "reason")
+
+
+def route_order(spark, d):
+    """Questions that also ask for a booking: a sign of a hard question counts before that of an easy one."""
+    return routing.rules(_cases(spark, d).withColumn("text", F.concat(F.lit("我想预约，"), "text"))).where("route IS NOT NULL").select("conv_id", "turn", "route", "reason")
+
+
 # memory
 def _window(n):
     def query(spark, d):
@@ -428,6 +450,15 @@ def store_delete(spark, d):
     return store.all()
 
 
+def memory_read(spark, d):
+    return memory.get(_table(spark, d, "conversations"), 1)
+
+
+def store_read(spark, d):
+    """`memory_read` from one bucket of a stored table."""
+    return _store(spark, d).get(1)
+
+
 def memory_shared(spark, d):
     return memory.shared_window(_table(spark, d, "conversations"), DEFAULT.memory_small, "turn", "conv_id").select("conv_id", "turn", "role", "text")
 
@@ -458,6 +489,13 @@ def cancel_messages(spark, d):
     return booking.cancel(*_bookings(spark, d))[1]
 
 
+def booking_find(spark, d):
+    """The slot of the first booking, looked up by its key."""
+    table = _bookings(spark, d)[0]
+    first = table.orderBy("id").select(*booking.KEY).first()
+    return booking.find(table, **first.asDict()).select(*booking.KEY)
+
+
 def booking_available(spark, d):
     return booking.available(_bookings(spark, d)[1]).select("request_id", "available")
 
@@ -470,6 +508,13 @@ def search_tool_text(spark, d):
     return _engine(spark, d).search(_questions(spark, d))
 
 
+def search_no_match(spark, d):
+    """A threshold that the chunks for some questions don't reach: these get the fixed sentence."""
+    q, children = _questions(spark, d), _engine(spark, d).children
+    near = retrieval.knn(retrieval.embed(q), children, DEFAULT.tool_k, fixtures.NEAR)
+    return fusion.search_text(q, near.join(children.select("child_id", "doc_id", "text"), "child_id"))
+
+
 def knn_above(spark, d):
     """A threshold that some of the twenty nearest don't reach."""
     return _knn(20, 0.7)(spark, d)
@@ -549,6 +594,50 @@ def scan_binary_dir(spark, d):
     return found.groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
 
 
+def scan_flat_dir(spark, d):
+    """One language's folder, without those below it; its parent has no files of its own."""
+    path = _folder(spark, d)
+    found = files.text_dir(spark, f"{path}/lang=en", "*.txt", recursive=False).unionByName(files.text_dir(spark, path, "*.txt", recursive=False))
+    line = F.split("line", "\t")
+    return found.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").select(line[0].cast("long").alias("doc_id"))
+
+
+def find_row(spark, d):
+    return files.find_by_id(_table(spark, d, "orders"), "o_orderkey", 7)
+
+
+def _path(spark, name):
+    return f"{files.shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def declared_table(spark, d):
+    """Stored in a declared schema: ids as text, a source that wasn't given."""
+    return files.rebuild(_table(spark, d, "documents").select("doc_id", "text", "n_chars"), _path(spark, "declared"), "doc_id string, text string, source string, n_chars double")
+
+
+def append_rows(spark, d):
+    """Rows added to a stored table call by call."""
+    c, path = _table(spark, d, "conversations"), _path(spark, "rows")
+    for k in range(3):
+        files.append(c.where(F.pmod("conv_id", F.lit(3)) == k), path)
+    return spark.read.schema(c.schema).parquet(path)
+
+
+def append_vectors(spark, d):
+    """`knn_top20` over vectors added in two calls."""
+    queries, items = _vectors(spark, d)
+    path = _path(spark, "vectors")
+    for odd in (0, 1):
+        files.append(items.where(F.col("vec_id") % 2 == odd), path)
+    return retrieval.knn(queries, spark.read.schema(items.schema).parquet(path), 20, DEFAULT.min_score, "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
+def knn_in_memory(spark, d):
+    """`knn_top20` over vectors that the executors keep."""
+    queries, items = _vectors(spark, d)
+    return retrieval.knn(queries, files.in_memory(items, "kept_vectors"), 20, DEFAULT.min_score, "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
 def put_last_write(spark, d):
     return files.last_write_wins(_table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
 
@@ -578,7 +667,7 @@ def stream_ingest(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, rerank_top3, rerank_off_top3, rerank_features, proximity_top3, rerank_recall, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed,
-        memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_available, calc_tools, search_tool_text, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_binary_dir, put_last_write, stream_memory_state, stream_memory_timed, stream_ingest,
+        chunk_parents, chunk_children, split_paragraphs, split_tokens, chunk_metadata, ingest_stats, tokenize_docs, bm25_postings, bm25_top20, feedback_top20, feedback_recall, latent_recall, hash_embed, rrf_fuse, rrf_top8, parent_expand, expand_orphans, rerank_top3, rerank_off_top3, rerank_features, proximity_top3, rerank_recall, rerank_partial, fallback_children, rrf_retrieve, append_retrieve, delete_retrieve, stream_retrieve, expand_variants, rank_variants, rrf_variants, rrf_variants_top3, ask, ask_without_agent, ask_agentic, ask_agentic_off, chat_messages, chat_stream, route_rules, route_reason_counts, route_eval, rule_hit_rate, route_fallback, route_failed, route_disabled, route_guard, route_order,
+        memory_json, memory_upsert, memory_delete, store_upsert, store_delete, memory_read, store_read, memory_shared, booking_insert_if_absent, booking_messages, booking_cancel, cancel_messages, booking_find, booking_available, calc_tools, search_tool_text, search_no_match, knn_above, stats_merge, prompt_render, prompt_dated, context_prompt, conv_id_from_uuid, delta_text, delta_suffix, recall_at_3, scan_text_dir, scan_flat_dir, scan_binary_dir, find_row, declared_table, append_rows, append_vectors, knn_in_memory, put_last_write, stream_memory_state, stream_memory_timed, stream_ingest,
     )
 } | {"knn_top20": _knn(20), "knn_top5_tool": _knn(5), "knn_top1": _knn(1), "cells_top20": _cells(False), "cells_exact_top20": _cells(True), "assistant_separate": _assistant("separate"), "assistant_friend": _assistant("friend"), "memory_window_4": _window(4), "memory_window_10": _window(10), "memory_window_20": _window(20)}

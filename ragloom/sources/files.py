@@ -17,13 +17,20 @@ from . import snapshots
 
 
 def text_dir(spark: SparkSession, path: str, glob: str = "*.{txt,md}", recursive: bool = True) -> DataFrame:
-    """doc_id and source (file name), text, one row a file. A missing folder is a FileNotFoundError."""
+    """doc_id and source (file name), text, one row a file. A missing folder is a FileNotFoundError.
+
+    Without ``recursive`` files below other folders are left out, also below those named as partitions are (key=value).
+    """
     try:
-        df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(path, wholetext=True)
+        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(f"there is no folder of documents at {path}") from e
+    if not recursive:
+        fs, at = snapshots.at(spark, path)
+        deep = fs.makeQualified(at).toUri().getPath().rstrip("/").count("/") + 1
+        df = df.where(F.regexp_count(F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?(?=/)", ""), F.lit("/")) == deep)
     return df.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("source"))
 
 

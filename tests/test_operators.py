@@ -87,6 +87,10 @@ def test_bookings_of_a_hot_slot_against_a_loop(spark):
 def test_streams_and_files(spark, tmp_path):
     fixtures.write_files(str(tmp_path / "f"))
     assert {r.doc_id for r in files.text_dir(spark, str(tmp_path / "f"), recursive=False).collect()} == {"a.txt", "b.md"}
+    (tmp_path / "f" / "lang=en").mkdir()
+    (tmp_path / "f" / "lang=en" / "e.txt").write_text("zeta")
+    assert {r.doc_id for r in files.text_dir(spark, str(tmp_path / "f"), recursive=False).collect()} == {"a.txt", "b.md"}
+    assert {r.doc_id for r in files.text_dir(spark, str(tmp_path / "f") + "/").collect()} == {"a.txt", "b.md", "d.txt", "e.txt"}
     (tmp_path / "f" / "x.pdf").write_bytes(b"pdf")
     assert {(r.doc_id, r.text) for r in files.folder(spark, str(tmp_path / "f"), lambda b: b.decode()).collect()} >= {("x.pdf", "pdf"), ("a.txt", "alpha beta\n")}
     spark.createDataFrame([(1, t, "user", "x") for t in range(7)] + [(2, 0, "user", "x")], state.MESSAGES).write.parquet(str(tmp_path / "in" / "conversations.parquet"))
