@@ -9,7 +9,7 @@ the share of the paragraph's words that the template has.
 
 Notices are wrapped as often as not, so what is classified are the lines of a text and also the sentences of its paragraphs,
 which reach over line ends. Long sentences are read in overlapping windows: a template's words must stand close together. Each
-unit yields its likeliest family; the clauses of a sentence are units too, so a choice of licences yields each of them. Only units
+unit yields its likeliest family, none where it denies the licence ("was never released under"); the clauses of a sentence are units too, so a choice of licences yields each of them. Only units
 with one of a few words are read: `triggers` derives them from the templates, so that no template without them agrees enough.
 """
 
@@ -145,7 +145,14 @@ WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]"
 PARAGRAPH = r"(?:\r\n|\n|\r(?!\n))(?:[^\p{L}\p{N}\r\n]*(?:\r\n|\n|\r(?!\n)))+"
 SENTENCE = r"(?<=[.!?])[\"')\]]*\s+(?!\d)"
 #: Words that a list of licences follows, and where a sentence is cut so that each licence named stands with them alone.
-LEAD = r"(?i)\b(?:licen[cs]ed|released|distributed|available|offered)\s+under|spdx-license-identifier:"
+_DENIES = r"\b(?:not|never|cannot|no\s+longer|\w+n['’]t|refus\w+|declin\w+|forb[ia]d\w*)\s+(?:[\w'’-]+\s+){0,5}?"
+_FRAME = r"\b(?:licen[cs]ed|released|distributed|available|offered)\s+under"
+LEAD = rf"(?i){_FRAME}|spdx-license-identifier:"
+#: A denied licence up to the next notice, its frame alone, and a named licence, whether a family has that name or not; wrapped lines may start with marks of a comment.
+DENIED = rf"(?i){_DENIES}{_FRAME}(?:(?!{_FRAME})[^;])*"
+DENIES_ONE = rf"(?i){_DENIES}{_FRAME}"
+_GAP = r"[\s*#/]+"
+NAMED = rf"(?i)(?<!\w)(?:licen[cs]ed|released|distributed|available|offered){_GAP}under{_GAP}(?:the{_GAP})?(?:terms(?:{_GAP}and{_GAP}conditions)?{_GAP}of{_GAP})?(?:the{_GAP}|an?{_GAP})?(?:[\w.+-]+{_GAP}){{1,5}}?licen[cs]e(?!\w)"
 CLAUSE = r"(?i)[\s(]+(?:and/or|and|or)\s+|(?<=[\w.])/(?=(?:mit|apache|[al]?gpl|bsd|mpl|cc)\b)|\s+(?=(?:licen[cs]ed|released|distributed|available|offered)\s+under|spdx-license-identifier:)"
 #: Words of a window, more than the longest template's.
 WINDOW = 64
@@ -278,9 +285,10 @@ def _sentences(block: Column) -> Column:
         return F.when(F.size(words) <= WINDOW, F.array(sentence)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " ")))
 
     def clauses(window):
-        lead = F.regexp_extract(window, LEAD, 0)
-        parts = F.transform(F.split(window, CLAUSE), lambda c: F.when(c.rlike(LEAD), c).otherwise(F.concat_ws(" ", lead, c)))
-        return F.when(F.size(parts) > 1, F.concat(F.array(window), parts)).otherwise(F.array(window))
+        told = F.regexp_replace(window, DENIED, "")
+        lead = F.regexp_extract(told, LEAD, 0)
+        parts = F.transform(F.split(told, CLAUSE), lambda c: F.when(c.rlike(LEAD), c).otherwise(F.concat_ws(" ", lead, c)))
+        return F.when((F.size(parts) > 1) | (told != window), F.concat(F.array(window), parts)).otherwise(F.array(window))
 
     found = F.filter(F.flatten(F.transform(F.split(block, SENTENCE), windows)), lambda w: F.lower(w).rlike(_trigger()))
     return F.flatten(F.transform(found, clauses))
@@ -293,13 +301,14 @@ def _trigger() -> str:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, para, pos, text and whether it's a line, of the paragraphs' lines, sentences and clauses that have a trigger."""
+    """doc_id, para, pos, text and whether it's a line, of the paragraphs' lines, sentences and clauses that have a trigger and
+    don't deny a licence."""
     trigger = _trigger()
     blocks = docs.where(F.lower("text").rlike(trigger)).select("doc_id", F.posexplode(F.split("text", PARAGRAPH)).alias("para", "block")).where(F.lower("block").rlike(trigger))
     lines = F.split("block", r"[\r\n]+")
     more = F.array_except(_sentences(F.col("block")), lines)
     units = F.concat(F.transform(lines, lambda u: F.struct(u.alias("par"), F.lit(True).alias("line"))), F.transform(more, lambda u: F.struct(u.alias("par"), F.lit(False).alias("line"))))
-    return blocks.select("doc_id", "para", F.posexplode(units).alias("pos", "unit")).select("doc_id", "para", "pos", "unit.*").where(F.lower("par").rlike(trigger))
+    return blocks.select("doc_id", "para", F.posexplode(units).alias("pos", "unit")).select("doc_id", "para", "pos", "unit.*").where(F.lower("par").rlike(trigger) & ~F.col("par").rlike(DENIED))
 
 
 def _grams(words: Column, upto: int) -> Column:
@@ -352,7 +361,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, families (sorted distinct array of the confirmed ones), family (of the surest confirmed
-    line or sentence, else ``unknown`` if the model saw a notice that no template confirms, else ``none``), probability,
+    line or sentence, else ``unknown`` if the model saw a notice that no template confirms or the text names another licence in a
+    frame of notices, else ``none``), probability,
     template_share, n_paragraphs (the pairs of a paragraph and a family that is confirmed in it; a heading counts only for a family
     that no other paragraph shows).
 
@@ -372,9 +382,10 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     # a heading belongs to the paragraphs of its family, if there are any
     found = found.groupBy("doc_id", F.col("kept.best.family").alias("family")).agg(F.max(F.coalesce("kept.best", "top")).alias("best"), F.greatest(F.count_if("kept.text"), F.lit(1)).alias("n"))
     best = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("family")).alias("families"), F.max("best").alias("best"), F.sum(F.when(F.col("family").isNotNull(), F.col("n"))).alias("n_paragraphs")).withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    named = F.coalesce(F.regexp_replace("text", DENIES_ONE, "").rlike(NAMED), F.lit(False))
+    return docs.select("doc_id", named.alias("_named")).join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id",
-        F.when(F.col("best").isNull(), "none").when(F.col("best.confirmed"), F.col("best.family")).otherwise(UNKNOWN).alias("family"),
+        F.when(F.col("best").isNull(), F.when(F.col("_named"), UNKNOWN).otherwise("none")).when(F.col("best.confirmed"), F.col("best.family")).otherwise(UNKNOWN).alias("family"),
         F.coalesce("families", F.array().cast("array<string>")).alias("families"),
         F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"),
         F.coalesce("best.probability", F.lit(0.0)).alias("probability"),

@@ -166,3 +166,13 @@ def test_scan_edges(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.", "x", 0.5), (1, "Released under the MIT License.", "x", 0.5), (None, "Released under the MIT License.", "y", 0.1), (2, None, None, None)], "doc_id long, text string, family string, probability double")
     assert sorted((r.doc_id or 0, r.family) for r in ls.licenses(docs).collect()) == [(0, "mit"), (1, "mit"), (1, "mit"), (2, "none")]
     assert not any(x in ls.licenses(docs)._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow"))
+
+
+def test_denied_and_unlisted_licences(spark):
+    denied = ["The author refused to have it released under the GPL license.", "This was never licensed under the MIT License.", "It isn't distributed under the MIT License or the GPL license.", "The code can no longer be licensed under the ISC License."]
+    unlisted = ["Distributed under the Boost Software License, Version 1.0.", "// released under the zlib\n// license", "This font is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the terms of the Artistic License 2.0"]
+    plain = ["The ship was licensed under a foreign flag.", "The songs were available under the counter only.", "It was never released under the Boost Software License.", "under the licence", None]
+    both = ["This was never licensed under the MIT License. It is released under the ISC License.", "You may not copy the logo; the code is licensed under the MIT License.", "It was never licensed under the MIT License but is released under the ISC License"]
+    rows = {r.doc_id: r for r in ls.licenses(frame(spark, denied + unlisted + plain + both)).collect()}
+    got = [(rows[i].family, rows[i].families) for i in range(len(rows))]
+    assert got == [("none", [])] * 4 + [("unknown", [])] * 4 + [("none", [])] * 5 + [("isc", ["isc"]), ("mit", ["mit"]), ("isc", ["isc"])]
