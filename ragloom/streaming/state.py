@@ -6,13 +6,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from ..sources import snapshots
 
 MESSAGES = "conv_id long, turn long, role string, text string"
 KEPT = "messages array<struct<turn: bigint, role: string, text: string>>"
 
 
 def read_messages(spark: SparkSession, path: str, glob: str = "conversations.parquet") -> DataFrame:
-    return spark.readStream.schema(MESSAGES).option("pathGlobFilter", glob).parquet(path)
+    return read_table(spark, path, glob, MESSAGES)
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: StructType | str) -> DataFrame:
+    """A stored table as a stream: the part files of the folder ``name`` in ``path``, or the files in ``path`` that match ``name``."""
+    rows = spark.readStream.schema(schema)
+    fs, at = snapshots.at(spark, f"{path}/{name}")
+    if fs.exists(at) and fs.getFileStatus(at).isDirectory():
+        return rows.parquet(f"{path}/{name}")
+    return rows.option("pathGlobFilter", name).parquet(path)
 
 
 def bounded(messages: list[tuple], n: int) -> list[tuple]:
