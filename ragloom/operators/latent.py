@@ -1,7 +1,7 @@
 """Learned embeddings: latent vectors of hashed TF-IDF rows, by randomised range finding.
 
-The Gram matrix of all rows is never built. A pass over the rows multiplies it with a thin matrix: each task sums x (x Q) of its
-rows, the sums are added up slice by slice, and the driver orthogonalises FEATURES x (dims + EXTRA) numbers, whatever the corpus.
+The Gram matrix of all rows is never built. The features of the texts are counted once and stored. A pass over them multiplies the Gram
+matrix with a thin one: each task sums x (x Q) of its rows, a piece of rows as a dense block of the features that occur in it; the sums are added up slice by slice, and the driver orthogonalises FEATURES x (dims + EXTRA) numbers, whatever the corpus.
 After ROUNDS passes Q spans the leading directions; a small eigenproblem turns it to them.
 """
 
@@ -16,47 +16,35 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket, tokens
+from ..functions.text import buckets, tokens
 from ..sources import files
+from . import lexical
 
 FEATURES, EXTRA, ROUNDS, SEED = 1 << 13, 16, 3, 11
 #: Rows that are multiplied at once, and features of a slice of a sum.
-ROWS, SLICE = 512, 1 << 10
-_of: dict[str, int] = {}
+ROWS, SLICE = 128, 1 << 10
 
 
-def _features(terms: pa.Array) -> np.ndarray:
-    """The feature of each term, remembered for up to 200,000 terms."""
-    coded = terms.dictionary_encode()
-    if len(_of) > 200_000:
-        _of.clear()
-    of = []
-    for t in coded.dictionary.to_pylist():
-        if t not in _of:
-            _of[t] = bucket(t, FEATURES)
-        of.append(_of[t])
-    return np.array(of, np.int64)[coded.indices.to_numpy()]
-
-
-def _sparse(toks: pa.Array, idf: np.ndarray | None):
-    """(row, feature, value) of lists of tokens: values of unit rows, or ones without ``idf``."""
+def _counts(toks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each row, feature, count) of lists of tokens, one row after the other."""
     length = pc.fill_null(pc.list_value_length(toks), 0).to_numpy().astype(np.int64)
-    pairs, tf = np.unique(np.repeat(np.arange(len(length)), length) * FEATURES + _features(toks.flatten()), return_counts=True)
+    terms = toks.flatten().dictionary_encode()
+    of = buckets(terms.dictionary, FEATURES)[terms.indices.to_numpy()]
+    pairs, tf = np.unique(np.repeat(np.arange(len(length)), length) * FEATURES + of, return_counts=True)
     row, feature = np.divmod(pairs, FEATURES)
-    if idf is None:
-        return row, feature, np.ones(len(row))
-    value = (1 + np.log(tf)) * idf[feature]
-    norm = np.sqrt(np.bincount(row, value * value, len(length)))
-    return row, feature, value / norm[row]
+    return np.bincount(row, minlength=len(length)), feature, tf
 
 
-def _times(row: np.ndarray, feature: np.ndarray, value: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
-    """The rows times a matrix (feature x column)."""
-    out = np.zeros((n, m.shape[1]))
-    if len(row):
-        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[start]] = np.add.reduceat(value[:, None] * m[feature], start, axis=0)
-    return out
+def _rows(n: np.ndarray, feature: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the features that occur, unit rows over these features); a row without features is zeros."""
+    row = np.repeat(np.arange(len(n)), n)
+    value = (1 + np.log(tf)) * idf[feature]
+    norm = np.sqrt(np.bincount(row, value * value, len(n)))
+    occurs = np.zeros(FEATURES, bool)
+    occurs[feature] = True
+    x = np.zeros((len(n), occurs.sum()))
+    x[row, (np.cumsum(occurs) - 1)[feature]] = value / norm[row]
+    return np.flatnonzero(occurs), x
 
 
 def _pieces(toks: pa.Array):
@@ -64,6 +52,19 @@ def _pieces(toks: pa.Array):
         yield toks.slice(lo, ROWS)
 
 
+def counted(texts: DataFrame, text: str = "text") -> DataFrame:
+    """features, counts: the hashed tokens of every text that has some."""
+    toks = texts.select(tokens(text).alias("toks"))
+
+    def run(batches):
+        for b in (piece for whole in batches for piece in lexical.pieces(whole)):
+            n, feature, tf = _counts(b.column("toks"))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n[n > 0])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (feature, tf)], names=["features", "counts"])
+
+    return toks.mapInArrow(run, "features array<int>, counts array<int>")
+
+
 def _added(found: DataFrame, columns: int) -> np.ndarray:
     """The sum of the tasks' matrices of FEATURES rows, added up by slice before they come to the driver."""
 
@@ -81,24 +82,20 @@ def _added(found: DataFrame, columns: int) -> np.ndarray:
     return out
 
 
-def _sums(toks: DataFrame, columns: int, of) -> np.ndarray:
-    """Adds up ``of`` (a piece of token lists -> features, rows to add to them) over all rows."""
+def _sums(rows: DataFrame, columns: int, add) -> np.ndarray:
+    """Adds up all `counted` rows by ``add``, a function of (the sum so far, features of each row, feature, count)."""
 
     def run(batches):
         total = np.zeros((FEATURES, columns))
         for b in batches:
-            for piece in _pieces(b.column("toks")):
-                feature, x = of(piece)
-                order = np.argsort(feature, kind="stable")
-                f = feature[order]
-                if len(f):
-                    start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                    total[f[start]] += np.add.reduceat(x[order], start, axis=0)
+            for lo in range(0, b.num_rows, ROWS):
+                features, counts = (b.column(c).slice(lo, ROWS) for c in ("features", "counts"))
+                add(total, pc.list_value_length(features).to_numpy(), features.flatten().to_numpy(), counts.flatten().to_numpy())
         slices = total.reshape(-1, SLICE * columns)
         used = np.flatnonzero(slices.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([slices[i].tobytes() for i in used], pa.binary())], names=["slice", "values"])
 
-    return _added(toks.mapInArrow(run, "slice int, values binary"), columns)
+    return _added(rows.mapInArrow(run, "slice int, values binary"), columns)
 
 
 @dataclass(frozen=True)
@@ -118,8 +115,11 @@ class Latent:
         @F.arrow_udf("array<double>")
         def vectors(toks: pa.Array) -> pa.Array:
             idf, directions = shared.value
-            x = np.concatenate([np.zeros((0, directions.shape[1])), *(_times(*_sparse(p, idf), directions, len(p)) for p in _pieces(toks))])
-            x = np.round(x, 6) + 0.0
+            x = [np.zeros((0, directions.shape[1]))]
+            for piece in _pieces(toks):
+                used, rows = _rows(*_counts(piece), idf)
+                x.append(rows @ directions[used])
+            x = np.round(np.concatenate(x), 6) + 0.0
             return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()), mask=toks.is_null())
 
         return vectors(tokens(col))
@@ -128,26 +128,25 @@ class Latent:
 def fit(texts: DataFrame, dims: int = 64, text: str = "text") -> Latent:
     """Vectors learnt from all rows of ``texts``; the same for any partitioning, up to rounding. A corpus with fewer directions than
     ``dims`` gets zeros in the rest."""
-    toks = files.index(texts.select(tokens(text).alias("toks")).where("size(toks) > 0"), "tokens")
+    rows = files.index(counted(texts, text), "counted")
 
-    def seen(piece):
-        _, feature, ones = _sparse(piece, None)
-        return feature, ones[:, None]
+    def seen(total, n, feature, tf):
+        total[:, 0] += np.bincount(feature, minlength=FEATURES)
 
-    df = _sums(toks, 1, seen)[:, 0]
-    idf = np.log((1 + toks.count()) / (1 + df)) + 1
+    df = _sums(rows, 1, seen)[:, 0]
+    idf = np.log((1 + rows.count()) / (1 + df)) + 1
     width = dims + EXTRA
     q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(FEATURES, width)) * (df > 0)[:, None])[0]
     spark = texts.sparkSession
     for turn in range(ROUNDS + 1):
         sent = spark.sparkContext.broadcast((idf, q))  # FEATURES x width numbers
 
-        def gram(piece, sent=sent):
+        def gram(total, n, feature, tf, sent=sent):
             idf, q = sent.value
-            row, feature, value = _sparse(piece, idf)
-            return feature, value[:, None] * _times(row, feature, value, q, len(piece))[row]
+            used, x = _rows(n, feature, tf, idf)
+            total[used] += x.T @ (x @ q[used])
 
-        y = _sums(toks, width, gram)
+        y = _sums(rows, width, gram)
         if turn < ROUNDS:
             q = np.linalg.qr(y)[0]
     values, turn_to = np.linalg.eigh(q.T @ y)

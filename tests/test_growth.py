@@ -33,3 +33,11 @@ def test_a_word_is_hashed_once(monkeypatch):
     assert set(seen.values()) == {1}
     monkeypatch.setattr(text, "REMEMBERED", 2)
     assert text.buckets(pa.array(["four"]), 64).tolist() == [real("four", 64)] and len(text._hashes) == 1
+
+
+def test_features_are_counted_once_and_stored(docs):
+    rows = latent.counted(docs.repartition(3)).collect()
+    assert len(rows) == 38
+    words = next(r.text for r in docs.collect() if r.doc_id == 9).replace(".", "").split()
+    want = Counter(text.bucket(w, latent.FEATURES) for w in words)
+    assert dict(want) in [dict(zip(r.features, r.counts, strict=True)) for r in rows]
