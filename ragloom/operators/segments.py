@@ -162,7 +162,9 @@ class Base:
 
 
 def purged(index: lexical.Lexical) -> DataFrame:
-    """The index's blocks without the chunks that have gone; blocks of such chunks only are left out."""
+    """The index's blocks without the chunks that have gone; blocks of such chunks only are left out. Without any they are copied."""
+    if index.dead is None:
+        return index.blocks
     blocks = lexical._blocks(index)
     schema = index.blocks.schema
 
