@@ -57,7 +57,7 @@ class Base:
         for s in segments:
             own = self._table(name, [f"{s['folder']}/{name}"])
             if s["gone"]:
-                own = own.join(self._table("gone", s["gone"]).distinct(), "doc_id", "left_anti")
+                own = own.join(files.few(self._table("gone", s["gone"]).distinct(), "all-gone"), "doc_id", "left_anti")
             found = own if found is None else found.unionByName(own)
         return self._table(name, []) if found is None else found
 
@@ -129,13 +129,13 @@ class Base:
 
     def delete(self, ids: DataFrame) -> None:
         """Remove the documents of ``ids`` (doc_id); unknown ids change nothing."""
-        ids = files.index(ids.select("doc_id").distinct(), "ids")
+        ids = files.few(ids.select("doc_id").distinct(), "ids")
         self._publish([self._without(s, ids) for s in self.says["segments"]])
 
     def put(self, docs: DataFrame) -> None:
         """Add documents, in place of those with the same ids."""
         docs = files.index(docs, "put")
-        ids = docs.select("doc_id").distinct()
+        ids = files.few(docs.select("doc_id").distinct(), "ids")
         kept = [self._without(s, ids) for s in self.says["segments"]]
         self._publish([*kept, self._segment(docs)])
 

@@ -41,3 +41,17 @@ def test_features_are_counted_once_and_stored(docs):
     words = next(r.text for r in docs.collect() if r.doc_id == 9).replace(".", "").split()
     want = Counter(text.bucket(w, latent.FEATURES) for w in words)
     assert dict(want) in [dict(zip(r.features, r.counts, strict=True)) for r in rows]
+
+
+def test_deletions_do_not_shuffle_blocks(spark, docs):
+    index = lexical.build(docs, "doc_id")
+    assert "MapInArrow" not in _plan(segments.purged(index))
+    less = lexical.without(index, docs.where("doc_id % 4 = 1").select("doc_id"), "doc_id", 10)
+    want = lexical.build(docs.where("doc_id % 4 <> 1"), "doc_id")
+    assert (less.docs, less.tokens) == (want.docs, want.tokens) and sorted(less.terms.collect()) == sorted(want.terms.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange hashpartitioning" not in _plan(lexical._blocks(less))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
