@@ -43,6 +43,30 @@ def test_features_are_counted_once_and_stored(docs):
     assert dict(want) in [dict(zip(r.features, r.counts, strict=True)) for r in rows]
 
 
+@pytest.mark.parametrize("min_score", [0.0, 0.8])
+def test_nearest_over_many_batches(spark, min_score):
+    """Batches of some rows after one another, copies, null vectors and those of zeros; ties by key."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (300, 8)).astype(float)
+    x[50:200:3], x[7] = x[50], 0
+    rows = [(i, None if i == 9 else v.tolist()) for i, v in enumerate(x)]
+    asked = x[[1, 20, 50]]
+    items = spark.createDataFrame(rows, "child_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<double>")
+    want = []
+    for i, a in enumerate(asked):
+        norm = np.sqrt((x * x).sum(1))
+        s = {j: np.floor((1 + a @ x[j] / (np.sqrt(a @ a) * norm[j])) / 2 * 1e6 + 0.5) / 1e6 for j in range(300) if norm[j] and j != 9}
+        want += [(i, n + 1, j) for n, j in enumerate(sorted((j for j in s if s[j] >= min_score), key=lambda j: (-s[j], j))[:20])]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        got = retrieval.knn(q, items, 20, min_score, dims=8).select("query_id", "rank", "child_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == want
+
+
 def test_deletions_do_not_shuffle_blocks(spark, docs):
     index = lexical.build(docs, "doc_id")
     assert "MapInArrow" not in _plan(segments.purged(index))
