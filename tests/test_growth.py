@@ -43,6 +43,13 @@ def test_features_are_counted_once_and_stored(docs):
     assert dict(want) in [dict(zip(r.features, r.counts, strict=True)) for r in rows]
 
 
+def test_a_question_is_searched_once_for_each_wording(spark, monkeypatch):
+    calls, real = [], lexical.weighted
+    monkeypatch.setattr(lexical, "weighted", lambda *a, **b: calls.append(1) or real(*a, **b))
+    queries.feedback_recall(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2  # as asked, and with feedback
+
+
 @pytest.mark.parametrize("min_score", [0.0, 0.8])
 def test_nearest_over_many_batches(spark, min_score):
     """Batches of some rows after one another, copies, null vectors and those of zeros; ties by key."""
