@@ -86,3 +86,13 @@ def test_deletions_do_not_shuffle_blocks(spark, docs):
         assert "Exchange hashpartitioning" not in _plan(lexical._blocks(less))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_feedback_cuts_only_the_texts_it_found(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "all"))
+    items = spark.read.parquet(str(tmp_path / "all"))
+    index = lexical.build(items, "doc_id")
+    q = spark.createDataFrame([(1, "alpha w7")], "query_id long, text string")
+    first = retrieval.files.index(retrieval.bm25(q, items, key="doc_id", posted=index), "first")
+    terms = retrieval.feedback_terms(q, first, items, index, key="doc_id")
+    assert not [f for f in terms.inputFiles() if str(tmp_path) in f] and terms.count() > 2
