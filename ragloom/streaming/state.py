@@ -28,12 +28,29 @@ def read_table(spark: SparkSession, path: str, name: str, schema: StructType | s
 
 
 def bounded(messages: list[tuple], n: int) -> list[tuple]:
-    """Of (turn, role, text) messages the latest system one and the last n - 1 others, or the last n without one, in order."""
-    messages = sorted(messages, key=lambda m: m[0])
+    """Of (turn, role, text) messages the latest system one and the last n - 1 others, or the last n without one, in order; those of a
+    null turn are the oldest."""
+    messages = sorted(messages, key=_place)
     system = [m for m in messages if m[1] == "system"][-1:]
     others = [m for m in messages if m[1] != "system"]
     room = n - len(system)
-    return sorted(system + (others[-room:] if room > 0 else []), key=lambda m: m[0])
+    return sorted(system + (others[-room:] if room > 0 else []), key=_place)
+
+
+def _place(message: tuple) -> tuple:
+    """Messages without a turn come before all others."""
+    return message[0] is not None, message[0] or 0
+
+
+def coded(messages: DataFrame) -> DataFrame:
+    """Null turns as 0 and marked in ``_null``: a null among numbers would have pandas make all of them floats."""
+    return messages.withColumns({"turn": F.coalesce("turn", F.lit(0)), "_null": F.col("turn").isNull()})
+
+
+def decoded(pdf: pd.DataFrame) -> list[tuple]:
+    """(turn, role, text) of rows of `coded` messages."""
+    rows = pdf[["turn", "_null", "role", "text"]].itertuples(index=False, name=None)
+    return [(None if null else int(t), None if pd.isna(r) else r, None if pd.isna(x) else x) for t, null, r, x in rows]
 
 
 def bounded_memory(messages: DataFrame, n: int) -> DataFrame:
@@ -45,11 +62,11 @@ def bounded_memory(messages: DataFrame, n: int) -> DataFrame:
         kept = [tuple(m) for m in kept]
         for pdf in batches:
             seen += len(pdf)
-            kept = bounded(kept + list(pdf[["turn", "role", "text"]].itertuples(index=False, name=None)), n)
+            kept = bounded(kept + decoded(pdf), n)
         state.update((seen, kept))
         yield pd.DataFrame({"conv_id": [key[0]], "seen": [seen], "messages": [[dict(zip(("turn", "role", "text"), m, strict=True)) for m in kept]]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(update, f"conv_id long, seen long, {KEPT}", f"seen long, {KEPT}", "update", GroupStateTimeout.NoTimeout)
+    return coded(messages).groupBy("conv_id").applyInPandasWithState(update, f"conv_id long, seen long, {KEPT}", f"seen long, {KEPT}", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "update") -> DataFrame:
