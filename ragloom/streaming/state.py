@@ -43,13 +43,13 @@ def _place(message: tuple) -> tuple:
 
 
 def coded(messages: DataFrame) -> DataFrame:
-    """Null turns as 0 and marked in ``_null``: a null among numbers would have pandas make all of them floats."""
-    return messages.withColumns({"turn": F.coalesce("turn", F.lit(0)), "_null": F.col("turn").isNull()})
+    """Null turns as 0 and marked in ``no_turn``: a null among numbers would have pandas make all of them floats."""
+    return messages.withColumns({"turn": F.coalesce("turn", F.lit(0)), "no_turn": F.col("turn").isNull()})
 
 
 def decoded(pdf: pd.DataFrame) -> list[tuple]:
     """(turn, role, text) of rows of `coded` messages."""
-    rows = pdf[["turn", "_null", "role", "text"]].itertuples(index=False, name=None)
+    rows = pdf[["turn", "no_turn", "role", "text"]].itertuples(index=False, name=None)
     return [(None if null else int(t), None if pd.isna(r) else r, None if pd.isna(x) else x) for t, null, r, x in rows]
 
 

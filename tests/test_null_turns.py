@@ -1,7 +1,7 @@
 """Stream memory of messages without a turn."""
 
 from ragloom.operators import memory
-from ragloom.streaming import state
+from ragloom.streaming import sessions, state
 
 ROWS = [(1, None, "user", "a"), (1, 2**60 + 1, "user", "b"), (1, 3, "system", None), (1, 4, "user", "c"), (None, 1, "user", "d"), (None, None, "user", "e"), (2, None, "user", None)]
 
@@ -19,3 +19,7 @@ def _same(spark, tmp_path, rows, keep):
 
 def test_state(spark, tmp_path):
     _same(spark, tmp_path, ROWS, lambda m: state.latest(state.run_to_table(state.bounded_memory(m, 3), str(tmp_path / "mem")), "conv_id"))
+
+
+def test_timed(spark, tmp_path):
+    _same(spark, tmp_path, ROWS, lambda m: sessions.memory_table(m, 3, str(tmp_path / "mem"), 600_000))
